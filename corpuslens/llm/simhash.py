@@ -10,6 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corpuslens.llm.common import map_arrow, read, stored
 from corpuslens.llm.components import components
@@ -146,14 +147,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without near copies: of each component the row of the least doc_id (of rows that share it, the least text); rows without doc_id stay."""
-    kept = near_duplicates(docs).where("component_id is null or doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(kept, docs.doc_id.eqNullSafe(F.col("_kept")), "left_semi")
-    shared = rows.groupBy("doc_id").agg(F.count("*").alias("_n"), F.min(F.xxhash64("text")).alias("_least")).where("_n > 1 and doc_id is not null")
-    shared = shared.withColumnRenamed("doc_id", "_id")
-    single = rows.join(shared, rows.doc_id == F.col("_id"), "left_anti")
-    again = rows.join(shared, (rows.doc_id == F.col("_id")) & (F.xxhash64(rows.text) == F.col("_least")), "left_semi")
-    return single.unionByName(again.dropDuplicates(["doc_id"]))
+    """docs without near copies: of each component the row of the least doc_id stays, of rows that share it the one of the least text hash.
+
+    A component whose rows all lack a doc_id stays as it is. Which rows stay is settled on ids alone, so texts are shuffled once.
+    """
+    heads = near_duplicates(docs).where("doc_id = component_id or component_id is null").select(F.col("doc_id").alias("_head")).distinct()
+    heads = stored(heads, "simhash-heads")
+    ids = docs.groupBy("doc_id").agg(F.count("*").alias("_n"))
+    shared = stored(ids.where("_n > 1 and doc_id is not null").select(F.col("doc_id").alias("_shared")), "shared-ids")
+    kept = docs.join(heads, docs.doc_id.eqNullSafe(F.col("_head")), "left_semi")
+    if not shared.limit(1).count():
+        return kept
+    single = kept.join(shared, docs.doc_id == F.col("_shared"), "left_anti")
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    again = kept.join(shared, docs.doc_id == F.col("_shared"), "left_semi").withColumn("_row", F.row_number().over(order)).where("_row = 1").drop("_row")
+    return single.unionByName(again)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
