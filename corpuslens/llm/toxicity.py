@@ -60,10 +60,10 @@ def train(examples: list[tuple[np.ndarray, int, float]]) -> tuple[np.ndarray, np
 
 
 def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = [(doc, features(text), label) for batch in batches for doc, text, label in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+    rows = [(doc, np.unique(features(text)).astype(np.int32), label) for batch in batches for doc, text, label in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
     rows.sort(key=lambda x: (x[0], len(x[1])))
     if rows:
-        at, w = train([(np.unique(f), int(label), 1.0) for _, f, label in rows])
+        at, w = train([(f, int(label), 1.0) for _, f, label in rows])
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w)], names=["feature", "weight"])
 
 
