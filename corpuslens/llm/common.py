@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Documents handed to a Python worker at a time; long texts make larger batches costly.
-BATCH_ROWS = 512
+#: Bytes handed to a Python worker at a time: texts may be long, and a batch is held several times over.
+BATCH_BYTES = 4 << 20
+_ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,10 +47,13 @@ def partitions(spark: SparkSession) -> int:
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow in batches of BATCH_ROWS rows (the setting is read when the plan is made)."""
-    conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """mapInArrow in batches of at most BATCH_BYTES (the setting is read when the plan is made); workers find this package where the driver does."""
+    spark = df.sparkSession
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") not in (str(BATCH_BYTES), f"{BATCH_BYTES}b"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    held = spark.sparkContext.environment
+    if _ROOT not in held.get("PYTHONPATH", "").split(os.pathsep):
+        held["PYTHONPATH"] = os.pathsep.join(filter(None, [_ROOT, held.get("PYTHONPATH"), os.environ.get("PYTHONPATH")]))
     return df.mapInArrow(fn, schema)
 
 
@@ -115,7 +121,7 @@ def repeated(df: DataFrame, key: str, name: str) -> DataFrame:
     kinds = {c: t for c, t in df.dtypes}
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in cols) + ", leads boolean, matched boolean, edge int"
     ordered = df.select(*cols).repartitionByRange(partitions(spark), *cols).sortWithinPartitions(*cols)
-    found = stored(ordered.mapInArrow(_runs, schema), name)
+    found = stored(map_arrow(ordered, _runs, schema), name)
     place = F.struct(*cols[1:])
     ends = found.where("edge > 0").groupBy(key).agg(F.count("*").alias("_ends"), F.min(F.when(F.col("edge") >= AT_END, place)).alias("_before")).where("_ends > 1")
     crossed = found.join(F.broadcast(ends), key, "left")

@@ -8,7 +8,7 @@ from itertools import combinations, permutations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -82,8 +82,8 @@ def codeword_indices(words: np.ndarray, table: tuple[np.ndarray, np.ndarray]) ->
     return rows, (words[rows] ^ patterns[place]) >> 11
 
 
-def golay_keys(fps: np.ndarray, nearest, near) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
-    """Keys of the left and of the right side of the join, each as (rows, keys).
+def golay_keys(fps: np.ndarray, nearest, near) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """Keys of the left and of the right side of the join, each as (rows, keys, on both sides).
 
     At most four bits differ over three segments, so that two segments differ by (0, at most 2) or (1, 1) bits.
     (0, 2): the first segment itself with every codeword within 4 bits of the second; words 2 bits apart have a word
@@ -97,12 +97,12 @@ def golay_keys(fps: np.ndarray, nearest, near) -> tuple[tuple[np.ndarray, np.nda
     both, left, right = [], [], []
     for family, (i, j) in enumerate(permutations(range(3), 2)):
         rows, index = all_near[j]
-        both.append((rows, family << 40 | parts[i][rows] << 12 | index))
+        both.append((rows, family << 40 | parts[i][rows] << 12 | index, np.ones(len(rows), bool)))
     for family, (i, j) in enumerate(combinations(range(3), 2), start=6):
         rows, index = all_near[j]
-        left.append((rows, family << 40 | one[i][rows] << 12 | index))
+        left.append((rows, family << 40 | one[i][rows] << 12 | index, index == one[j][rows]))
         rows, index = all_near[i]
-        right.append((rows, family << 40 | index << 12 | one[j][rows]))
+        right.append((rows, family << 40 | index << 12 | one[j][rows], index == one[i][rows]))
     joined = lambda x: tuple(np.concatenate(y) for y in zip(*x, strict=True))
     return joined(both + left), joined(both + right)
 
@@ -113,19 +113,30 @@ def _keys(side: int):
         for batch in batches:
             if batch.num_rows:
                 fps = batch.column(0).to_numpy()
-                rows, keys = golay_keys(fps.view(np.uint64), nearest, near)[side]
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fps[rows])], names=["key", f"fp{side}"])
+                rows, keys, own = golay_keys(fps.view(np.uint64), nearest, near)[side]
+                made = [pa.array(keys), pa.array(fps[rows])] + [pa.array(own)] * (side == 0)
+                yield pa.RecordBatch.from_arrays(made, names=["key", f"fp{side}"] + ["own"] * (side == 0))
 
     return run
 
 
+def _close(a: str, b: str) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= MAX_BITS
+
+
 def links(fps: DataFrame) -> DataFrame:
-    """(a, b), a < b: all pairs of different values of fp that differ in at most MAX_BITS bits, each once."""
+    """(a, b), a < b: pairs of different values of fp within MAX_BITS bits whose components are those of all such pairs.
+
+    Each key has a leader, the least of its values that are on both sides. Values close to it are linked to it, and no pairs are made
+    between them: a dense group gives each key as many rows as it has values, not as many as it has pairs.
+    """
     values = fps.select("fp").distinct()
-    left = map_arrow(values, _keys(0), "key long, fp0 long")
+    left = map_arrow(values, _keys(0), "key long, fp0 long, own boolean")
     right = map_arrow(values, _keys(1), "key long, fp1 long")
-    close = (F.col("fp0") != F.col("fp1")) & (F.bit_count(F.col("fp0").bitwiseXOR(F.col("fp1"))) <= MAX_BITS)
-    found = left.join(right, (left.key == right.key) & close).select(F.least("fp0", "fp1").alias("a"), F.greatest("fp0", "fp1").alias("b"))
+    led = left.withColumn("leader", F.min(F.when(F.col("own"), F.col("fp0"))).over(Window.partitionBy("key"))).drop("own")
+    by_leader = (F.col("fp0") != F.col("leader")) & (F.col("fp1") != F.col("leader")) & _close("fp0", "leader") & _close("fp1", "leader")
+    close = (F.col("fp0") != F.col("fp1")) & _close("fp0", "fp1") & ~F.coalesce(by_leader, F.lit(False))
+    found = led.join(right.hint("merge"), (led.key == right.key) & close).select(F.least("fp0", "fp1").alias("a"), F.greatest("fp0", "fp1").alias("b"))
     return found.distinct()
 
 
@@ -155,7 +166,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     heads = stored(heads, "simhash-heads")
     ids = docs.groupBy("doc_id").agg(F.count("*").alias("_n"))
     shared = stored(ids.where("_n > 1 and doc_id is not null").select(F.col("doc_id").alias("_shared")), "shared-ids")
-    kept = docs.join(heads, docs.doc_id.eqNullSafe(F.col("_head")), "left_semi")
+    # The ids grow with the corpus: they are shuffled at every size, not broadcast while they happen to be few.
+    kept = docs.join(heads.hint("merge"), docs.doc_id.eqNullSafe(F.col("_head")), "left_semi")
     if not shared.limit(1).count():
         return kept
     single = kept.join(shared, docs.doc_id == F.col("_shared"), "left_anti")

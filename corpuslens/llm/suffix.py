@@ -143,7 +143,8 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, key_words: int = KEY_WO
     keyed = _keyed(docs)
     suffixes = map_arrow(keyed, _suffixes(min_words, key_words), "key long, row_id long, at int")
     shared = repeated(suffixes, "key", "suffixes").groupBy("row_id").agg(F.collect_set("at").alias("at"))
-    extended = keyed.join(shared, "row_id").select("row_id", "text", "at")
+    # What is shared grows with the corpus: it is shuffled at every size, not broadcast while it happens to be little.
+    extended = keyed.join(shared.hint("merge"), "row_id").select("row_id", "text", "at")
     passages = map_arrow(extended, _extended(min_words, key_words), "passage long, row_id long, word int, start int, stop int")
     copied = repeated(passages, "passage", "passages")
     by_doc = copied.groupBy("row_id").agg(F.collect_list(F.struct("word", "start", "stop", "leads")).alias("found"))
@@ -155,7 +156,7 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, key_words: int = KEY_WO
 def without_copies(docs: DataFrame, min_words: int = MIN_WORDS, key_words: int = KEY_WORDS) -> DataFrame:
     """docs with later copies of repeated passages cut out of their text and n_chars set anew; rows left without text go."""
     spans = stored(repeats(docs, min_words, key_words).where("is_copy and doc_id is not null").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("_cut")), "copies").withColumnRenamed("doc_id", "_id")
-    joined = docs.join(spans, docs.doc_id == F.col("_id"), "left")
+    joined = docs.join(spans.hint("merge"), docs.doc_id == F.col("_id"), "left")
     left = F.aggregate(
         "_cut",
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
