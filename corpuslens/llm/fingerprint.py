@@ -43,7 +43,8 @@ def merged(a: Column, b: Column, k: int = SKETCH) -> Column:
 
 def merged_by(df: DataFrame, by: list[str], sketch: str, k: int = SKETCH) -> DataFrame:
     """One sketch per group of parts: the k least hashes, limited before the shuffle too, so that a hot group sends k hashes a task."""
-    each = df.select(*by, F.explode(sketch).alias("_hash")).distinct()
+    # explode() would have the optimizer test the array's size below, and inline into that test all that makes the sketch.
+    each = df.select(*by, F.explode_outer(sketch).alias("_hash")).where("_hash is not null").distinct()
     least = each.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("_hash"))).where(f"_n <= {k}")
     return least.groupBy(*by).agg(F.sort_array(F.collect_list("_hash")).alias(sketch))
 
