@@ -37,12 +37,17 @@ def natural_key(feature: Column | str) -> list[Column]:
 
 
 def human_bytes(n: Column | str) -> Column:
-    """A size in decimal units; 'size unknown' for null."""
-    x = _col(n)
-    out = F.when(x.isNull(), "size unknown").when(x < 1000, F.format_string("%d B", x.cast("bigint")))
-    for unit, size in (("KB", 10**3), ("MB", 10**6)):
-        out = out.when(x < 1000 * size, F.format_string(f"%.1f {unit}", x / float(size)))
-    return out.otherwise(F.format_string("%.1f GB", x / 1e9))
+    """A size in decimal units to one place, ties to even; 'size unknown' for null."""
+    x = _col(n).cast("bigint")
+
+    def scaled(unit: str, size: int) -> Column:
+        step = size // 10
+        tenths, rest = F.floor(x / step), x % step
+        rounded = tenths + F.when((rest * 2 > step) | ((rest * 2 == step) & (tenths % 2 == 1)), 1).otherwise(0)
+        return F.format_string(f"%d.%d {unit}", F.floor(rounded / 10).cast("bigint"), (rounded % 10).cast("bigint"))
+
+    out = F.when(x.isNull(), "size unknown").when(x < 1000, F.format_string("%d B", x))
+    return out.when(x < 10**6, scaled("KB", 10**3)).when(x < 10**9, scaled("MB", 10**6)).otherwise(scaled("GB", 10**9))
 
 
 def model_label(model: Column | str, names: dict[str, str] | None = None) -> Column:

@@ -116,8 +116,12 @@ def natural_sort(spark, sf_dir):
     return rows.select("feature_id", F.row_number().over(Window.orderBy(*V.natural_key("feature_id"))).alias("place"))  # eight rows
 
 
-@query("""
-SELECT o_orderkey, CASE WHEN n < 1000 THEN n || ' B' WHEN n < 1000000 THEN printf('%.1f KB', n / 1000.0) WHEN n < 1000000000 THEN printf('%.1f MB', n / 1000000.0) ELSE printf('%.1f GB', n / 1000000000.0) END AS size
+_TENTHS = "(n // {0} + CASE WHEN n % {0} * 2 > {0} OR (n % {0} * 2 = {0} AND n // {0} % 2 = 1) THEN 1 ELSE 0 END)"
+_SCALED = f"({_TENTHS} // 10) || '.' || ({_TENTHS} % 10)"
+
+
+@query(f"""
+SELECT o_orderkey, CASE WHEN n < 1000 THEN n || ' B' WHEN n < 1000000 THEN {_SCALED.format(100)} || ' KB' WHEN n < 1000000000 THEN {_SCALED.format(100000)} || ' MB' ELSE {_SCALED.format(100000000)} || ' GB' END AS size
 FROM (SELECT o_orderkey, o_orderkey * o_orderkey + o_custkey AS n FROM orders)
 """)
 def human_bytes(spark, sf_dir):
