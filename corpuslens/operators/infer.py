@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 #: Clips above this many seconds are left out, those above LONG go one at a time.
 MOST_SECONDS, LONG = 40.0, 30.0
@@ -94,7 +95,7 @@ def mono(channels: str = "channels"):
     return F.when(F.size(c) == 1, c[0]).otherwise(F.transform(at, lambda i: F.aggregate(c, F.lit(0.0), lambda acc, x: acc + F.get(x, i)) / F.size(c)))
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(ArrayType(FloatType()))
 def resample(waveform: pd.Series, rate: pd.Series) -> pd.Series:
     """Waveforms at 16 kHz by linear interpolation after a moving average where the rate falls."""
     import numpy as np
