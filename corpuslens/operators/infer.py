@@ -96,12 +96,12 @@ def mono(channels: str = "channels"):
 
 
 @F.pandas_udf(ArrayType(FloatType()))
-def resample(waveform: pd.Series, rate: pd.Series) -> pd.Series:
-    """Waveforms at 16 kHz by linear interpolation after a moving average where the rate falls."""
+def to_16k(channels: pd.Series, rate: pd.Series) -> pd.Series:
+    """Channels (array of arrays of samples) mixed to one at 16 kHz: linear interpolation, after a moving average where the rate falls."""
     import numpy as np
 
-    def one(w, r):
-        x = np.asarray(w, np.float64)
+    def one(c, r):
+        x = np.mean([np.asarray(w, np.float64) for w in c], axis=0)
         if r == 16000 or not len(x):
             return x.astype(np.float32)
         if r > 16000:
@@ -110,4 +110,4 @@ def resample(waveform: pd.Series, rate: pd.Series) -> pd.Series:
         n = round(len(x) * 16000 / r)
         return np.interp(np.arange(n) * r / 16000, np.arange(len(x)), x).astype(np.float32)
 
-    return pd.Series([one(w, r) for w, r in zip(waveform, rate, strict=True)])
+    return pd.Series([one(c, r) for c, r in zip(channels, rate, strict=True)])

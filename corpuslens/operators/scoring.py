@@ -79,6 +79,10 @@ def _grams(x: Column, n: int, sep: str) -> Column:
     return F.when(F.size(x) >= n, F.transform(F.sequence(F.lit(1), F.size(x) - n + 1), lambda i: F.array_join(F.slice(x, i, n), sep))).otherwise(F.array().cast("array<string>"))
 
 
+def _of_order(n: int):
+    return lambda x: _grams(x, n, " ")
+
+
 def gram_matches(df: DataFrame, by: list[str], orders: list[tuple[str, int, Column, Column]]) -> DataFrame:
     """(by, kind, n, matched, of_hyp, of_ref) summed over pairs: clipped counts of common n-grams, with columns id, hyp and ref lists."""
     sides = []
@@ -110,7 +114,7 @@ def bleu(df: DataFrame, *by: str, order: int = 4) -> DataFrame:
     gap = lambda x: F.struct(F.abs(F.size(x) - F.size("h")).alias("gap"), F.size(x).alias("n"))
     sized = rows.withColumn("closest", F.array_min(F.transform("rs", gap))["n"])
     lengths = sized.groupBy(*by).agg(F.sum(F.size("h")).alias("c"), F.sum("closest").alias("r"))
-    parts = F.array(*[F.struct(F.lit(n).alias("n"), _grams(F.col("h"), n, " ").alias("hg"), F.transform("rs", lambda x, n=n: _grams(x, n, " ")).alias("rg")) for n in range(1, order + 1)])
+    parts = F.array(*[F.struct(F.lit(n).alias("n"), _grams(F.col("h"), n, " ").alias("hg"), F.transform("rs", _of_order(n)).alias("rg")) for n in range(1, order + 1)])
     grams = rows.select(*by, "id", F.explode(parts).alias("p")).select(*by, "id", "p.n", "p.hg", "p.rg")
     hyp = grams.select(*by, "id", "n", F.explode("hg").alias("gram")).groupBy(*by, "id", "n", "gram").agg(F.count("*").alias("in_hyp"))
     ref = grams.select(*by, "id", "n", F.posexplode("rg").alias("k", "g")).select(*by, "id", "n", "k", F.explode("g").alias("gram")).groupBy(*by, "id", "n", "k", "gram").agg(F.count("*").alias("m"))
