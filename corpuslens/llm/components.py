@@ -14,7 +14,8 @@ def components(edges: DataFrame, name: str = "components", most_rounds: int = 60
     Edges stay in the cluster; each round's edges are written to the shared folder. Every star keeps one edge per node
     and its number of rounds grows with the logarithm of a component's size.
     """
-    now = stored(_small(edges.where("a is not null and b is not null and a <> b")), f"{name}-0")
+    known = stored(edges.where("a is not null and b is not null and a <> b"), f"{name}-given")  # each step reads it several times
+    now = stored(_small(known), f"{name}-0")
     before = _state(now)
     for n in range(1, most_rounds + 1):
         now = stored(_small(_large(now)), f"{name}-{n}")
