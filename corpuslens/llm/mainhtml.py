@@ -144,6 +144,14 @@ LAYOUTS = (
     ((0, "<table><tr><td><a>[2]</a></td><td><a>[1]</a></td></tr></table>"), (1, "<h1>[6]</h1><div>{48}</div><div>{64}</div><div>{20}</div>"), (0, "<div><a>[2]</a> | <a>[2]</a></div><p>[2]</p>")),
     ((0, '<nav><a>[1]</a></nav><div class="banner">{11}</div>'), (1, "<article><header><h1>[7]</h1></header><p>{1}</p><p>{90}</p><p>{5}</p>"), (0, '<div class="advert"><p>{16}</p></div>'), (1, "<p>{38}</p><p>{8}</p>"), (0, '<aside><h4>[2]</h4><p>{28}</p><ul><li><a>[5]</a></li></ul></aside>'), (1, "<p>{52}</p></article>"), (0, '<div class="related"><h3>[2]</h3><p><a>[6]</a></p><p>{12}</p></div><footer>{30}</footer>')),
     ((0, '<form action="/s"><p>[2]</p></form><ul class="menu"><li><a>[1]</a></li><li><a>[1]</a></li></ul>'), (1, '<div class="post"><h1>[4]</h1><p>{2}</p></div>'), (0, '<div class="share">[3]</div><div class="newsletter"><p>{17}</p></div><div class="comments"><p>{44}</p><p>{3}</p></div><footer><p>[5]</p></footer>')),
+    ((1, "<article><h1>[5]</h1><p>{50}</p><p>[3]</p><div>[4]</div><p>{20}</p><p><a>[5]</a></p><ul><li><a>[2]</a></li></ul><p>{1}</p><p>[40]</p></article>"),),
+    ((1, "<p>{60}</p><p>{30}</p>"),),
+    ((1, "<div>{200}</div>"),),
+    ((1, "<p>[50]</p><p>[80]</p>"),),
+    ((1, '<div class="story"><p>[2]</p><p>{45}</p><p>[35]</p></div>'),),
+    ((0, "<nav><a>[1]</a><a>[2]</a></nav>"), (1, "<article>[60]<p>[25]</p><p>{70}</p><p>[2]</p>")),
+    ((0, '<div class="nav"><a>[1]</a> <a>[2]</a></div><div class="ads">{20}</div>'), (1, "<main><h1>[4]</h1><p>{30}</p><p><a>[6]</a></p><div>[30]</div><p>[4]</p></main>"), (0, "<p>[6]</p><div><a>[3]</a></div>")),
+    ((1, "<article><h1>[5]</h1><p>{40}</p><p>{5}</p></article>"), (0, '<div class="comments"><p>{40}</p><p>{12}</p></div>')),
     ((0, "<div>[2]</div><div><a>[1]</a></div><ul><li><a>[2]</a></li><li><a>[1]</a></li></ul>"), (1, "<div><h2>[5]</h2><p>{75}</p><ul><li>{14}</li><li>{11}</li><li>{19}</li></ul><p>{42}</p></div>"), (0, "<ul><li><a>[3]</a></li><li><a>[4]</a></li></ul><div>[4] <a>[1]</a></div>")),
 )
 _FILL = re.compile(r"\{(\d+)\}|\[(\d+)\]")

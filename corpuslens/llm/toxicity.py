@@ -16,9 +16,9 @@ from corpuslens.llm.common import map_arrow, mix, read
 #: Hashed features: 1 to 2 ** BITS. Index 0 is the intercept.
 BITS = 22
 #: FTRL-proximal: rate ALPHA, BETA, penalties L1 and L2, passes over the sample.
-ALPHA, BETA, L1, L2, PASSES = 0.3, 1.0, 0.4, 0.5, 4
+ALPHA, BETA, L1, L2, PASSES = 3.0, 1.0, 2.5, 0.05, 6
 #: Labelled rows learnt from at most, of label 1 and of label 0, those of least hash: the sample is bounded, scores are for all.
-MOST_TOXIC, MOST_CLEAN = 4000, 8000
+MOST_TOXIC, MOST_CLEAN = 6000, 10_000
 #: Rows whose crc32 of doc_id modulo FOLDS is 0 are held out.
 FOLDS = 5
 
