@@ -18,8 +18,15 @@ BATCH_BYTES = 4 << 20
 _ROOT = str(Path(__file__).resolve().parents[2])
 
 
+#: Tables of long texts.
+TEXTS = ("documents", "pages", "conversations")
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table. Texts that are read by fewer tasks than there are cores (a small file has one row group) are dealt out first; large inputs stay as they are read."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in TEXTS and df.rdd.getNumPartitions() < cores else df
 
 
 def shared_dir(spark: SparkSession) -> str:
