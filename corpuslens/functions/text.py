@@ -7,6 +7,8 @@ aggregating it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,10 +23,19 @@ def _col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def once(x: Column, made: Callable[[Column], Column]) -> Column:
+    """made(x) with x worked out once, however often made uses it: nested expressions would else be worked out again for each use."""
+    return F.get(F.transform(F.array(x), made), F.lit(0))
+
+
 def _icu(x: Column, call: str) -> Column:
     """ICU's normal form; text of ASCII only, the usual case in many corpora, is its own."""
-    ascii_only = x.isNull() | (F.octet_length(x) == F.length(x))
-    return F.when(ascii_only, x).otherwise(F.call_function("java_method", F.lit("com.ibm.icu.text.Normalizer"), F.lit(call), F.coalesce(x, F.lit("")), F.lit(False)))
+
+    def form(v: Column) -> Column:
+        java = F.call_function("java_method", F.lit("com.ibm.icu.text.Normalizer"), F.lit(call), F.coalesce(v, F.lit("")), F.lit(False))
+        return F.when(v.isNull() | (F.octet_length(v) == F.length(v)), v).otherwise(java)
+
+    return once(x, form)
 
 
 def nfc(x: Column | str) -> Column:

@@ -24,15 +24,16 @@ def char_edits(ref: Column | str, hyp: Column | str) -> Column:
 def word_edits(ref: Column | str, hyp: Column | str) -> Column:
     """Edits between two word lists: each distinct word of the pair becomes one character, then the built-in distance does."""
     r, h = T._col(ref), T._col(hyp)
-    known = F.array_distinct(F.concat(r, h))
 
-    def code(w: Column) -> Column:
+    def code(known: Column, w: Column) -> Column:
         point = F.array_position(known, w) + F.lit(_FIRST_CODE)
         point = F.when(point >= _SURROGATES, point + _HIGH).otherwise(point)
         return F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
 
-    coded = lambda x: F.array_join(F.transform(x, code), "")
-    return F.levenshtein(coded(r), coded(h)).cast("bigint")
+    def coded(known: Column, x: Column) -> Column:
+        return F.array_join(F.transform(x, lambda w: code(known, w)), "")
+
+    return T.once(F.array_distinct(F.concat(r, h)), lambda known: F.levenshtein(coded(known, r), coded(known, h))).cast("bigint")
 
 
 def _rate(edits: Column, length: Column, other: Column) -> Column:
