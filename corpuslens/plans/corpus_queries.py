@@ -439,7 +439,7 @@ def fertility(spark, sf_dir):
     return tokens.fertility(read(spark, sf_dir, "documents"), _COUNTERS["pieces of four"], "lang").withColumn("pieces_per_word", r6("pieces_per_word"))
 
 
-class _Shout:
+class _Whisper:
     """A stand-in for a model: it fails on large batches, as a full device does."""
 
     def __init__(self, most: int = 4):
@@ -449,7 +449,7 @@ class _Shout:
         def call(items: list) -> list:
             if len(items) > self.most:
                 raise MemoryError("out of memory")
-            return [f"{len(x)} samples" if not isinstance(x, str) else x.upper() for x in items]
+            return [f"{len(x)} samples" if not isinstance(x, str) else x.lower() for x in items]
 
         return call
 
@@ -459,12 +459,12 @@ def batched_inference(spark, sf_dir):
     """Clips drawn from events: a waveform as long as the value says."""
     e = read(spark, sf_dir, "events")
     clips = e.select(F.col("event_id").cast("string").alias("id"), F.array_repeat(F.lit(0.0).cast("float"), (F.abs(F.coalesce("value", F.lit(0.0))) % 400).cast("int") + 1).alias("waveform"), F.lit(10).alias("sample_rate"), F.col("event_type").alias("text"))
-    return infer.transcribe(clips, _Shout()).select("id", "seconds", "text", "hyp")
+    return infer.transcribe(clips, _Whisper()).select("id", "seconds", "text", "hyp")
 
 
-@query("SELECT conv_id, turn, upper(text) AS hyp FROM conversations WHERE trim(text) <> '' UNION ALL SELECT conv_id, turn, '' FROM conversations WHERE trim(coalesce(text, '')) = ''")
+@query("SELECT conv_id, turn, lower(text) AS hyp FROM conversations WHERE trim(text) <> '' UNION ALL SELECT conv_id, turn, '' FROM conversations WHERE trim(coalesce(text, '')) = ''")
 def translate_batches(spark, sf_dir):
-    return infer.translate(read(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), _Shout()).select("conv_id", "turn", "hyp")
+    return infer.translate(read(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), _Whisper()).select("conv_id", "turn", "hyp")
 
 
 @query()
