@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,21 +37,31 @@ KNOWN = (
 )
 
 
+def _once(x: Column, made: Callable[[Column], Column]) -> Column:
+    """made(x) with x worked out once, however often made uses it."""
+    return F.get(F.transform(F.array(x), made), F.lit(0))
+
+
 def canonical(text: Column) -> Column:
     """Text as licences compare: copyright lines and comment marks dropped, lower case, letters and digits only, one spelling, single spaces."""
-    lines = F.regexp_replace(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"(?m)^[ \t*#/;-]*(?:copyright|\(c\)|©)[^\r\n]*[0-9]{4}[^\r\n]*$|(?m)^[ \t*#/;-]*all rights reserved\.?[ \t]*$", "")
-    plain = F.concat(F.lit(" "), F.trim(F.regexp_replace(lines, r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
-    may = F.lower(F.coalesce(text.cast("string"), F.lit(""))).rlike("|".join(a.replace(" ", r"[^\p{L}\p{N}]+") for a, _ in SPELLINGS))
-    spelt = plain
-    for a, b in SPELLINGS:
-        spelt = F.replace(spelt, F.lit(f" {a} "), F.lit(f" {b} "))
-    return F.trim(F.when(may, spelt).otherwise(plain))
+    known = "|".join(a.replace(" ", r"[^\p{L}\p{N}]+") for a, _ in SPELLINGS)
+
+    def spelt(plain: Column) -> Column:
+        for a, b in SPELLINGS:
+            plain = F.replace(plain, F.lit(f" {a} "), F.lit(f" {b} "))
+        return plain
+
+    def of_lower(low: Column) -> Column:
+        lines = F.regexp_replace(low, r"(?m)^[ \t*#/;-]*(?:copyright|\(c\)|©)[^\r\n]*[0-9]{4}[^\r\n]*$|(?m)^[ \t*#/;-]*all rights reserved\.?[ \t]*$", "")
+        plain = F.concat(F.lit(" "), F.trim(F.regexp_replace(lines, r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
+        return F.trim(_once(plain, lambda p: F.when(low.rlike(known), spelt(p)).otherwise(p)))
+
+    return _once(F.lower(F.coalesce(text.cast("string"), F.lit(""))), of_lower)
 
 
 def digest(text: Column) -> Column:
     """SHA-256 of the canonical text; null if nothing is left of it."""
-    made = canonical(text)
-    return F.when(made != "", F.sha2(made.cast("binary"), 256))
+    return _once(canonical(text), lambda made: F.when(made != "", F.sha2(made.cast("binary"), 256)))
 
 
 def known_digests(licences: DataFrame) -> DataFrame:
