@@ -3,34 +3,38 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import map_arrow, read
+from corpuslens.llm.common import map_arrow, read, stored
 
-#: Labelled rows and other rows to learn from at most, those of least hash: the sample is bounded, scores are for all.
-MOST_LABELLED, MOST_OTHER = 8000, 8000
+#: Labelled rows to learn from at most, those of least hash. Rows without a label all take part.
+MOST_LABELLED = 8000
 #: Rounds, and the share of the other rows that each view may label for the other one in a round (half of it as each class).
 ROUNDS, TAUGHT = 5, 0.04
 #: A view teaches only what it is this sure of.
 SURE = 0.9
+#: Steps between this certainty and the greatest log odds by which the surest rows are counted.
+BINS = 1024
 #: Labelled rows whose crc32 of doc_id modulo this is 0 calibrate the views and aren't learnt from.
 FOLDS = 4
 SOURCES, LANGUAGES = 32, 8
 
 TEXT = ("marks per character", "marks per word", "upper case", "digits", "word length", "long words", "short words", "different words", "repeated lines", "ends as a sentence", "bars", "log words")
 META = ("log characters", "log lines", "characters a line", "longest line", *(f"source {i}" for i in range(SOURCES)), *(f"language {i}" for i in range(LANGUAGES)))
+#: Columns before those of sources and languages.
+PLAIN = len(TEXT) + len(META) - SOURCES - LANGUAGES
 _UPPER, _DIGIT = np.zeros(256, bool), np.zeros(256, bool)
 _UPPER[65:91] = _DIGIT[48:58] = True
 _MARK = np.array([32 < b < 127 and not chr(b).isalnum() and chr(b) not in ".,;:'\"!?()-" for b in range(256)])
 
 
-def views(text: str | None, source: str | None, lang: str | None, n_chars: int | None) -> np.ndarray:
-    """The text's features (TEXT), then the metadata's (META). Null and empty texts have zeros, null metadata counts as ''."""
+def measures(text: str | None, source: str | None, lang: str | None, n_chars: int | None) -> list[float]:
+    """The text's features (TEXT), then the metadata's (META) with source and language by number. Null and empty texts have zeros, null metadata counts as ''."""
     raw = (text or "").encode("utf-8", "surrogatepass")
     counts = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
     total, words = max(1, len(raw)), raw.split()
@@ -53,11 +57,17 @@ def views(text: str | None, source: str | None, lang: str | None, n_chars: int |
         np.log1p(len(words)) / 10,
     ]
     chars = n_chars if n_chars is not None and n_chars >= 0 else len(text or "")
-    meta = np.zeros(len(META))
-    meta[:4] = np.log1p(chars) / 10, np.log1p(len(lines)) / 10, np.log1p(chars / max(1, len(lines))) / 10, np.log1p(max(map(len, lines), default=0)) / 10
-    meta[4 + zlib.crc32((source or "").encode()) % SOURCES] = 1
-    meta[4 + SOURCES + zlib.crc32((lang or "").encode()) % LANGUAGES] = 1
-    return np.concatenate([content, meta])
+    meta = [np.log1p(chars) / 10, np.log1p(len(lines)) / 10, np.log1p(chars / max(1, len(lines))) / 10, np.log1p(max(map(len, lines), default=0)) / 10]
+    return [float(c) for c in (*content, *meta, zlib.crc32((source or "").encode()) % SOURCES, zlib.crc32((lang or "").encode()) % LANGUAGES)]
+
+
+def views(x: np.ndarray) -> np.ndarray:
+    """Rows of measures with a column of their own for each source and language: TEXT, then META."""
+    out = np.zeros((len(x), len(TEXT) + len(META)))
+    out[:, :PLAIN] = x[:, :PLAIN]
+    out[np.arange(len(x)), PLAIN + x[:, PLAIN].astype(int)] = 1
+    out[np.arange(len(x)), PLAIN + SOURCES + x[:, PLAIN + 1].astype(int)] = 1
+    return out
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1.0, steps: int = 25) -> np.ndarray:
@@ -85,45 +95,146 @@ def _chance(o: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-o))
 
 
-def train(x: np.ndarray, y: np.ndarray, fold: np.ndarray, rounds: int = ROUNDS) -> dict:
-    """The model of rows x (views, standardised here) with labels y (-1: none); rows of fold 0 calibrate."""
-    mean, scale = x.mean(0), x.std(0)
-    scale[scale < 1e-9] = 1.0
-    z = (x - mean) / scale
-    parts = [z[:, : len(TEXT)], z[:, len(TEXT) :]]
-    known = [np.where((y >= 0) & (fold != 0), y, -1).astype(float) for _ in parts]
-    weight = [np.where(k >= 0, 1.0, 0.0) for k in known]
-    pool = y < 0
-    n = max(1, int(pool.sum() * TAUGHT / 2))
-
-    def fit(v: int) -> np.ndarray:
-        use = known[v] >= 0
-        return logistic(parts[v][use], known[v][use], weight[v][use])
-
-    models = [fit(0), fit(1)]
-    for _ in range(rounds):
-        chances = [_chance(odds(parts[v], models[v])) for v in (0, 1)]
+def _parts(model: dict, x: np.ndarray) -> list[np.ndarray]:
+    z = (views(x) - model["mean"]) / model["scale"]
+    return [z[:, : len(TEXT)], z[:, len(TEXT) :]]
+
+
+def _bins(o: np.ndarray) -> np.ndarray:
+    """The step of each of the log odds for a class, -1 below SURE."""
+    low = np.log(SURE / (1 - SURE))
+    return np.where(o >= low - 1e-12, np.clip((o - low) / (30 - low) * BINS, 0, BINS - 1), -1).astype(np.int64)
+
+
+def _cut(counts: np.ndarray, n: int) -> tuple[int, float]:
+    """(step, share): rows above the step and that share of those in it are the n surest, or all if they are fewer."""
+    above = np.cumsum(counts[::-1])[::-1]
+    if above[0] <= n:
+        return 0, 1.0
+    at = int(np.flatnonzero(above >= n)[-1])
+    return at, float((n - (above[at] - counts[at])) / counts[at])
+
+
+def _taught(model: dict, parts: list[np.ndarray], draw: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+    """The pseudo-labels of rows for each view after the rounds so far (-1: none). They follow from the rounds, so they are stored nowhere."""
+    known = [np.full(len(y), -1.0), np.full(len(y), -1.0)]
+    for views_then, cuts in model["rounds"]:
+        o = [odds(parts[v], views_then[v]) for v in (0, 1)]
         for v, other in ((0, 1), (1, 0)):
-            free = np.flatnonzero(pool & (known[other] < 0))
-            for label, sure in ((1, chances[v][free]), (0, 1 - chances[v][free])):
-                best = free[np.argsort(-sure, kind="stable")[:n]]
-                best = best[(chances[v][best] if label else 1 - chances[v][best]) >= SURE]
-                known[other][best], weight[other][best] = label, 0.5
-        models = [fit(0), fit(1)]
-    held = (y >= 0) & (fold == 0)
+            free = (y == -1) & (known[other] < 0)
+            for label in (0, 1):
+                at, share = cuts[v][label]
+                b = _bins(o[v] if label else -o[v])
+                known[other][free & ((b > at) | ((b == at) & (draw < share)))] = label
+    return known
+
+
+def _counted(model: dict, x: np.ndarray, draw: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Counts of the rows that each view could still teach, by view, class and step."""
+    parts = _parts(model, x)
+    known = _taught(model, parts, draw, y)
+    out = []
+    for v, other in ((0, 1), (1, 0)):
+        o = odds(parts[v], model["views"][v])
+        for label in (0, 1):
+            b = _bins(o if label else -o)
+            out.append(np.bincount(b[(y == -1) & (known[other] < 0) & (b >= 0)], minlength=BINS))
+    return np.concatenate(out).astype(float)
+
+
+def _newton(x: np.ndarray, y: np.ndarray, weight: float, w: np.ndarray) -> np.ndarray:
+    """Loss, gradient and curvature of the rows at w, in one array."""
+    o = odds(x, w)
+    x, p = np.hstack([x, np.ones((len(x), 1))]), _chance(o)
+    curve = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x
+    return np.concatenate([[weight * (np.logaddexp(0, o) - y * o).sum()], weight * (x.T @ (p - y)), curve.ravel()])
+
+
+def _summed(rows: DataFrame, made: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray | None:
+    """The sum of made(x, draw, y) over all rows, one array a task; None of no rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                part = made(x, batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False))
+                total = part if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["total"])
+
+    found = map_arrow(rows.select("x", "draw", "y"), run, "total array<double>").toArrow()["total"].to_pylist()
+    return np.array(found).sum(0) if found else None
+
+
+def _fitted(rows: DataFrame, model: dict, known: list[tuple[np.ndarray, np.ndarray]], penalty: float = 1.0, steps: int = 25) -> list[np.ndarray]:
+    """Both views by Newton's method from where they are: known rows (x, y) here, rows with pseudo-labels where they lie, at half weight."""
+
+    def made(at: list[np.ndarray]):
+        def sums(x: np.ndarray, draw: np.ndarray, y: np.ndarray) -> np.ndarray:
+            parts = _parts(model, x)
+            taught = _taught(model, parts, draw, y)
+            return np.concatenate([np.concatenate([[(t >= 0).sum()], _newton(p[t >= 0], t[t >= 0], 0.5, w)]) for p, t, w in zip(parts, taught, at, strict=True)])
+
+        return sums
+
+    w, last, step = [x.copy() for x in model["views"]], [np.inf, np.inf], [np.zeros_like(x) for x in model["views"]]
+    for _ in range(steps):
+        total, at, moved = _summed(rows, made(w)), 0, 0.0
+        for v in (0, 1):
+            k = len(w[v])
+            model["taught"][v] = int(total[at])
+            mine = total[at + 1 : at + 2 + k + k * k] + _newton(*known[v], 1.0, w[v])
+            at += 2 + k + k * k
+            ridge = np.full(k, penalty)
+            ridge[-1] = 1e-6
+            loss = mine[0] + (ridge * w[v] ** 2).sum() / 2
+            if loss > last[v] * (1 + 1e-9) + 1e-9:  # too far: half of the way back
+                step[v] = step[v] / 2
+                w[v] = w[v] + step[v]
+            else:
+                last[v] = loss
+                step[v] = np.linalg.solve(mine[1 + k :].reshape(k, k) + np.diag(ridge), mine[1 : 1 + k] + ridge * w[v])
+                w[v] = w[v] - step[v]
+            moved = max(moved, float(np.abs(step[v]).max()))
+        if moved < 1e-4:  # the error is about the square of the last step
+            break
+    return w
+
+
+def train(rows: DataFrame, x: np.ndarray, y: np.ndarray, fold: np.ndarray, rounds: int = ROUNDS) -> dict:
+    """The model of rows (x, draw, y; y is -1 without a label) and of the labelled sample x, y, of which fold 0 calibrates.
+
+    Mean and scale are those of all rows. In each round every row without a label is scored where it lies, the surest are found by
+    counts and the views fitted by sums; what comes to the driver is some thousand numbers a task.
+    """
+    total = _summed(rows, lambda x, draw, y: np.concatenate([[len(x), (y == -1).sum()], views(x).sum(0)]))
+    mean = total[2:] / total[0]
+    scale = np.sqrt(_summed(rows, lambda x, draw, y: ((views(x) - mean) ** 2).sum(0)) / total[0])
+    scale[scale < 1e-9] = 1.0
+    model = {"mean": mean, "scale": scale, "rounds": [], "taught": [0, 0], "pool": int(total[1])}
+    n = max(1, int(model["pool"] * TAUGHT / 2))
+    parts = _parts(model, x)
+    known = [(p[fold != 0], y[fold != 0].astype(float)) for p in parts]
+    model["views"] = [logistic(p, k, np.ones(len(k))) for p, k in known]
+    for _ in range(rounds if model["pool"] else 0):
+        counts = _summed(rows, lambda x, draw, y: _counted(model, x, draw, y)).reshape(2, 2, BINS)
+        model["rounds"].append((model["views"], [[_cut(counts[v, label], n) for label in (0, 1)] for v in (0, 1)]))
+        model["views"] = _fitted(rows, model, known)
+    held = fold == 0
     if held.sum() < 20 or len(set(y[held])) < 2:
-        held = y >= 0
-    each = np.column_stack([odds(parts[v], models[v]) for v in (0, 1)])
+        held = np.ones(len(y), bool)
+    each = np.column_stack([odds(parts[v], model["views"][v]) for v in (0, 1)])
     ones = np.ones(int(held.sum()))
-    calibrated = [logistic(each[held][:, [v]], y[held], ones, 0.01) for v in (0, 1)]
-    both = np.column_stack([odds(each[:, [v]], calibrated[v]) for v in (0, 1)])
-    return {"mean": mean, "scale": scale, "views": models, "calibrated": calibrated, "combined": logistic(both[held], y[held], ones, 1.0)}
+    model["calibrated"] = [logistic(each[held][:, [v]], y[held], ones, 0.01) for v in (0, 1)]
+    both = np.column_stack([odds(each[:, [v]], model["calibrated"][v]) for v in (0, 1)])
+    model["combined"] = logistic(both[held], y[held], ones, 1.0)
+    return model
 
 
 def score(model: dict, x: np.ndarray) -> np.ndarray:
     """Columns: calibrated text view, calibrated metadata view, combined."""
-    z = (x - model["mean"]) / model["scale"]
-    parts = [z[:, : len(TEXT)], z[:, len(TEXT) :]]
+    parts = _parts(model, x)
     both = np.column_stack([odds(odds(parts[v], model["views"][v])[:, None], model["calibrated"][v]) for v in (0, 1)])
     return _chance(np.column_stack([both, odds(both, model["combined"])]))
 
@@ -133,29 +244,34 @@ def _columns(docs: DataFrame) -> list:
     return [have("doc_id", "long"), have("text", "string"), have("source", "string"), have("lang", "string"), have("n_chars", "long")]
 
 
-def _viewed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        cols = [c.to_pylist() for c in batch.columns]
-        made = [views(*row).tolist() for row in zip(*cols[1:5], strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(5), pa.array(made, pa.list_(pa.float64()))], names=["doc_id", "quality", "x"])
+        made = [measures(*row) for row in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)]
+        draw = [zlib.crc32(repr((doc, x)).encode()) / 2**32 for doc, x in zip(batch.column(0).to_pylist(), made, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.float64())), pa.array(draw, pa.float64())], names=["doc_id", "x", "draw"])
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
-    """The model learnt from a bounded sample of labelled and other rows of docs; None without two classes of labels."""
+def measured(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, x, draw, y) for each row of docs, stored: its measures, a number of [0, 1) by which ties are parted, and its label: -1 for none, -2 for one beyond the sample."""
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min((F.col("quality") == 1).cast("int")).alias("quality"))
-    order = lambda c: [F.xxhash64(c), F.col(c)]
-    labelled = known.orderBy(*order("_id")).limit(MOST_LABELLED)
-    others = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("_id")).distinct().join(known, "_id", "left_anti").orderBy(*order("_id")).limit(MOST_OTHER)
-    picked = labelled.unionByName(others.withColumn("quality", F.lit(-1)))
-    rows = docs.select(*_columns(docs)).join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).drop("_id")
-    found = map_arrow(rows, _viewed, "doc_id long, quality int, x array<double>").toArrow()
-    ids, y = found["doc_id"].to_pylist(), found["quality"].to_numpy()
+    sample = known.orderBy(F.xxhash64("_id"), "_id").limit(MOST_LABELLED).select("_id", F.lit(True).alias("_in"))
+    marks = known.join(F.broadcast(sample), "_id", "left").select("_id", F.when(F.col("_in"), F.col("quality")).otherwise(-2).alias("y"))
+    rows = map_arrow(docs.select(*_columns(docs)), _measured, "doc_id long, x array<double>, draw double")
+    # Rows without doc_id have no label; a hash spreads them over the tasks.
+    same = (F.coalesce("doc_id", F.xxhash64("draw")) == F.col("_id")) & F.col("doc_id").isNotNull()
+    return stored(rows.join(marks.hint("merge"), same, "left").select("doc_id", "x", "draw", F.coalesce("y", F.lit(-1)).alias("y")), "measures")
+
+
+def fit(rows: DataFrame) -> dict | None:
+    """The model learnt from measured rows: those of the labelled sample and all without a label; None without two classes of labels."""
+    found = rows.where("y >= 0").select("doc_id", "y", "x").toArrow()
+    ids, y = found["doc_id"].to_pylist(), found["y"].to_numpy()
     if not {0, 1} <= set(y.tolist()):
         return None
     x = np.array(found["x"].to_pylist())
     at = sorted(range(len(ids)), key=lambda i: (ids[i], x[i].tolist()))
     fold = np.array([zlib.crc32(str(ids[i]).encode()) % FOLDS for i in at])
-    return train(x[at], y[at], fold)
+    return train(rows, x[at], y[at], fold)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -163,18 +279,19 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     docs needs doc_id and text and may have source, lang and n_chars; other columns are ignored. Nulls and empty texts are scored. Of a
     doc_id's labels the least counts. Without labels of both classes all scores are 0.5. An empty table gives no rows; repeated rows are scored each.
+    Texts are read once: their measures (18 numbers) are stored.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    rows = measured(docs, labels)
+    sent = docs.sparkSession.sparkContext.broadcast(fit(rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in batches:
-            cols = [c.to_pylist() for c in batch.columns]
-            x = [views(*row) for row in zip(*cols[1:], strict=True)]
-            s = score(model, np.array(x)) if model and x else np.full((len(x), 3), 0.5)
+            n = batch.num_rows
+            s = score(model, batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(n, -1)) if model and n else np.full((n, 3), 0.5)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(s[:, k]) for k in range(3))], names=["doc_id", "text_score", "meta_score", "score"])
 
-    found = map_arrow(docs.select(*_columns(docs)), run, "doc_id long, text_score double, meta_score double, score double")
+    found = map_arrow(rows.select("doc_id", "x"), run, "doc_id long, text_score double, meta_score double, score double")
     return found.withColumn("keep", F.col("score") >= 0.5)
 
 

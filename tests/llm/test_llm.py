@@ -463,6 +463,23 @@ def test_cotraining(spark, hard):
     assert cotrain.score_documents(documents(spark, []), labels).count() == 0
 
 
+def test_cotraining_learns_from_all_rows_without_a_label(spark):
+    draw = random.Random(6)
+    rows = []
+    for i in range(12_000):
+        bad = i % 4 == 0
+        words = [f"w{draw.randrange(400)}" + (draw.choice(["***", "%%%", "$$$"]) if bad else "") for _ in range(12)]
+        rows.append((i if i % 50 else None, " ".join(words) + ("" if bad else "."), "rare" if i % 3000 == 7 else "s"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(1, 1200) if i % 50], "doc_id long, quality int")
+    found = cotrain.measured(docs, labels)
+    model = cotrain.fit(found)
+    every = cotrain.views(np.array([cotrain.measures(t, s, None, None) for _, t, s in rows]))
+    assert np.allclose(model["mean"], every.mean(0)) and np.allclose(model["scale"], np.where(every.std(0) < 1e-9, 1, every.std(0)))
+    assert model["pool"] == 12_000 - labels.count() and max(model["taught"]) > 1600
+    assert max(model["taught"]) <= 1.1 * cotrain.ROUNDS * cotrain.TAUGHT * model["pool"]
+
+
 # --- HTML
 
 
