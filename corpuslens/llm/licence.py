@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +38,24 @@ KNOWN = (
     ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:\n\n1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.\n2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.\n3. This notice may not be removed or altered from any source distribution."),
 )
 
+#: Published licence texts, whole: a file's name is its identifier, with what tells variants apart before ".txt".
+FOLDER = Path(__file__).with_name("licences")
+#: Titles under which texts that hold none are published.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)"),
+    "Zlib": ("zlib License", "The zlib License", "zlib/libpng License", "The zlib/libpng License"),
+    "BSD-2-Clause": ("BSD License", "BSD 2-Clause License", "The BSD 2-Clause License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD License", "BSD 3-Clause License", "The BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License", "Modified BSD License"),
+    "Unlicense": ("The Unlicense", "Unlicense"),
+}
+#: Lines that name a holder, with a year or not; a bare "copyright x" only where its paragraph ends, and not the words of a licence that wraps there.
+_HOLDER = (
+    r"(?im)^[ \t*#/;-]*(?:copyright[ \t]*(?:\(c\)|©|&copy;|<|\[|\{)|©)[^\r\n]*$"
+    r"|^[ \t*#/;-]*copyright[ \t]+(?!(?:holders?|owners?|owned|notices?|licen[cs]es?|laws?|acts?|interests?|statements?|doctrines?|treaty|treaties|status|ownership|disclaimers?|infringement|protection|permissions?|grants?|rights?|and|or|in|to|on|is|of|for|as|with)\b)[^\r\n]*"
+    r"(?=(?:\r?\n[ \t*#/;-]*(?:\r?\n|copyright\b|all rights reserved|\Z))|\Z)"
+)
+
 
 def _once(x: Column, made: Callable[[Column], Column]) -> Column:
     """made(x) with x worked out once, however often made uses it."""
@@ -64,32 +84,60 @@ def digest(text: Column) -> Column:
     return _once(canonical(text), lambda made: F.when(made != "", F.sha2(made.cast("binary"), 256)))
 
 
+def unheld(text: Column) -> Column:
+    """The digest of a text without the lines that name a holder; null for texts that don't speak of copyright."""
+    spoken = F.lower(text.cast("string"))
+    return F.when(F.contains(spoken, F.lit("copyright")) | F.contains(spoken, F.lit("©")), digest(F.regexp_replace(text, _HOLDER, "")))
+
+
 def known_digests(licences: DataFrame) -> DataFrame:
-    """(digest, license_id) of known texts (license_id, text): one row per digest, the least identifier."""
-    return licences.select("license_id", digest(F.col("text")).alias("digest")).where("digest is not null and license_id is not null").groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    """(digest, license_id) of known texts (license_id, text), with and without lines that name a holder: one row per digest, the least identifier."""
+    made = F.explode(F.array(digest(F.col("text")), unheld(F.col("text"))))
+    return licences.select("license_id", made.alias("digest")).where("digest is not null and license_id is not null").groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
 def scan(docs: DataFrame, licences: DataFrame) -> DataFrame:
     """(doc_id, digest, license_id, notices) for each row of docs.
 
-    license_id tells of a document whose entire text is a known licence (null if it isn't), notices the known licences or notices that
+    license_id tells of a document whose entire text is a known licence (null if it isn't), be it only without the lines that name a
+    holder; digest is that of the text with such lines, unless they hold a year. notices the known licences or notices that
     entire lines of it are (sorted, each once). Null, empty and wordless texts have no digest and match nothing. Repeated rows and
     rows without doc_id stay; an empty table on either side is no error; other columns are ignored. A line's digest is looked up, so the work
     is in proportion to the text.
     """
     known = known_digests(licences)
     lookup = (lambda df: F.broadcast(df)) if known.count() <= MOST_BROADCAST else (lambda df: df)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), digest(F.col("text")).alias("digest"), F.xxhash64("text").alias("_text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), digest(F.col("text")).alias("digest"), F.xxhash64("text").alias("_text"), unheld(F.col("text")).alias("_unheld"))
     lines = rows.select("doc_id", "_text", F.explode(F.array_distinct(F.split("text", r"\R"))).alias("line")).where("line <> ''")
     found = lines.select("doc_id", "_text", digest(F.col("line")).alias("digest")).join(lookup(known), "digest")
     notices = found.groupBy(F.col("doc_id").alias("_doc"), F.col("_text").alias("_hash")).agg(F.sort_array(F.collect_set("license_id")).alias("notices"))
-    whole = rows.drop("text").join(lookup(known), "digest", "left")
+    bare = known.select(F.col("digest").alias("_bare"), F.col("license_id").alias("_license"))
+    # Most texts have no second digest; their first one stands in, so that they spread over the tasks of a shuffled join.
+    whole = rows.drop("text").join(lookup(known), "digest", "left").join(lookup(bare), F.coalesce("_unheld", "digest") == F.col("_bare"), "left").withColumn("license_id", F.coalesce("license_id", "_license"))
     same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_text") == F.col("_hash"))
     return whole.join(notices, same, "left").select("doc_id", "digest", "license_id", F.coalesce("notices", F.array().cast("array<string>")).alias("notices"))
 
 
+def published() -> list[tuple[str, str]]:
+    """(license_id, text) of whole texts as they are published: with and without title, with and without what follows the terms, with http and https."""
+    texts = [(f.name.removesuffix(".txt"), f.read_text("utf-8")) for f in sorted(FOLDER.glob("*.txt"))]
+    texts = [(re.sub(r"\.[a-z]+$", "", name), text) for name, text in texts] + [(name, text) for name, text in KNOWN if "\n" in text]
+    found = set()
+    for name, text in texts:
+        bodies = {text}
+        head, _, rest = text.strip().partition("\n\n")
+        if rest and len(head.split()) <= 12:
+            bodies.add(rest)
+        for ends in re.finditer(r"(?m)^[ \t]*(END OF TERMS AND CONDITIONS)[ \t]*$", text):
+            bodies |= {b[: b.rindex(ends[1])] + tail for b in tuple(bodies) for tail in ("", ends[1]) if ends[1] in b}
+        bodies |= {re.sub(r"(?m)^[ \t]*(?:\d\.|\(\d\))[ \t]+", "", b) for b in tuple(bodies) if name.startswith("BSD")}
+        bodies |= {b.replace("https://", "http://") for b in bodies} | {b.replace("http://", "https://") for b in bodies}
+        found |= {(name, f"{title}\n\n{b}") for b in bodies for title in ("", *TITLES.get(name, ()))}
+    return sorted(found)
+
+
 def known_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(KNOWN), "license_id string, text string")
+    return spark.createDataFrame([*KNOWN, *published()], "license_id string, text string")
 
 
 def op10_licence(spark: SparkSession, sf_dir: str) -> DataFrame:

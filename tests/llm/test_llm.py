@@ -1,6 +1,7 @@
 """The training-data operators against brute force, on small tables and on hard cases."""
 
 import random
+import re
 import zlib
 
 import numpy as np
@@ -405,6 +406,30 @@ def test_licences(spark):
     assert twice.count() == 4 and licence.scan(documents(spark, []), licence.known_table(spark)).count() == 0
 
 
+def test_licence_files_as_published(spark):
+    body = {name: max((t for n, t in licence.KNOWN if n == name), key=len) for name in ("MIT", "ISC", "Zlib")}
+    file = {f.name.removesuffix(".txt"): f.read_text() for f in licence.FOLDER.glob("*.txt")}
+    apache, bsd = file["Apache-2.0"], file["BSD-3-Clause"]
+    cases = [
+        ("MIT", "MIT License\n\nCopyright (c) 2020 X\n\n" + body["MIT"]),
+        ("MIT", "The MIT License (MIT)\n\nCopyright (c) Foo Inc.\n\n" + body["MIT"]),
+        ("MIT", "MIT License\r\n\r\nCopyright <YEAR> <HOLDER>\r\n\r\n" + body["MIT"].replace("\n", "\r\n")),
+        ("ISC", "ISC License\n\nCopyright Foo Bar <foo@bar.example>\nCopyright Another\n\n" + body["ISC"]),
+        ("Zlib", "zlib License\n\n© Foo\n\n" + body["Zlib"]),
+        ("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright (c) 2019, X\nAll rights reserved.\n\n" + " ".join(bsd.split())),
+        ("BSD-3-Clause", "Copyright [yyyy] [name]\n\n" + bsd.replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* ")),
+        ("Apache-2.0", apache[: apache.index("END OF TERMS AND CONDITIONS")] + "END OF TERMS AND CONDITIONS\n"),
+        ("Apache-2.0", apache.replace("Copyright [yyyy] [name of copyright owner]", "Copyright 2021 Foo Inc.")),
+        (None, "Copyright laws of the land\n\nand more"),
+        (None, "Copyright (c) Foo Inc."),
+        (None, "MIT License\n\n" + body["MIT"] + " And more."),
+    ]
+    cases += [(re.sub(r"\.[a-z]+$", "", name), text) for name, text in file.items()]
+    assert {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense", "CC0-1.0"} <= {c[0] for c in cases}
+    got = {r.doc_id: r for r in licence.scan(documents(spark, [(i, t) for i, (_, t) in enumerate(cases)]), licence.known_table(spark)).collect()}
+    assert [(i, got[i].license_id) for i in range(len(cases))] == [(i, c[0]) for i, c in enumerate(cases)]
+
+
 # --- toxicity
 
 
