@@ -19,8 +19,11 @@ _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:"[^"]*
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORDS = re.compile(r"[a-z]+")
 
-#: Elements whose content is no text of the page.
-RAW = frozenset("script style noscript template iframe svg math textarea title object canvas audio video select option button".split())
+#: Elements that hold no tags and end at their own end tag only.
+RAW = frozenset("script style textarea title".split())
+#: Other elements whose content is no text of the page; those of NESTED may hold themselves.
+DROPPED = frozenset("noscript template iframe svg math object canvas audio video select option button".split())
+NESTED = frozenset("template svg object".split())
 #: Elements that part blocks.
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -59,12 +62,65 @@ def _place(name: str, attributes: str) -> tuple[bool, bool]:
     return good and not hints, name in AROUND or bool(hints)
 
 
+def _after_raw(page: str, at: int, name: str) -> int:
+    close = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
+    return close.end() if close else len(page)
+
+
+def _tags(page: str, at: int) -> Iterator[tuple[re.Match, str, bool]]:
+    """(tag, name, closing) from a place on, without what raw elements hold and without tags that close themselves."""
+    while m := _TAG.search(page, at):
+        at, name = m.end(), (m[2] or "").lower()
+        if name in RAW:
+            at = at if m[1] or m[3].endswith("/") else _after_raw(page, at, name)
+        elif name and not (not m[1] and m[3].endswith("/")):
+            yield m, name, bool(m[1])
+
+
+def _closes(page: str) -> dict[int, re.Match]:
+    """The end tag of each element of DROPPED, by the place of its start tag; elements left open have none."""
+    found: dict[int, re.Match] = {}
+    opened: dict[str, list[int]] = {}
+    for m, name, closing in _tags(page, 0):
+        if name in DROPPED:
+            mine = opened.setdefault(name, [])
+            if closing and mine:
+                found[mine.pop()] = m
+            elif not closing:
+                if name not in NESTED:
+                    mine.clear()
+                mine.append(m.start())
+    return found
+
+
+def _after_dropped(page: str, start: re.Match, name: str, close: re.Match | None, broken: int) -> tuple[int, int]:
+    """(where text goes on after an element of DROPPED, broken): after its end tag. One left open ends at the next block, at its parent's end tag or where the
+    next of its name begins, and so does one whose parent ends before its end tag; broken is the last such end tag of a parent."""
+    if close and start.end() <= broken < close.start():
+        close = None
+    resume, opened = None, {}
+    for m, n, closing in _tags(page, start.end()):
+        if close and m.start() >= close.start():
+            break
+        lone = closing and n != "br" and not opened.get(n)
+        if resume is None and (lone or n in BLOCK or (n == name and not closing)):
+            resume = m.start()
+        if resume is not None and not close:
+            return resume, broken
+        if lone:
+            return resume, m.start()
+        opened[n] = opened.get(n, 0) + (-1 if closing else 1)
+    return close.end() if close else len(page), broken
+
+
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page, in order; marks (comments of the form "mark:x") are for labelled pages."""
     out: list[Block] = []
     stack: list[tuple[str, bool, bool]] = []
     parts: list[str] = []
     kind, link, link_words, at, mark, marked = 0, 0, 0, 0, "", ""
+    closes: dict[int, re.Match] | None = None
+    broken = -1
 
     def flush() -> None:
         nonlocal parts, link_words
@@ -102,8 +158,12 @@ def blocks(page: str) -> list[Block]:
         closing, name = bool(m[1]), m[2].lower()
         if name in RAW:
             if not closing and not m[3].endswith("/"):
-                close = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-                at = close.end() if close else end
+                at = _after_raw(page, at, name)
+            continue
+        if name in DROPPED:
+            if not closing and not m[3].endswith("/"):
+                closes = _closes(page) if closes is None else closes
+                at, broken = _after_dropped(page, m, name, closes.get(m.start()), broken)
             continue
         if name == "a":
             link = 0 if closing else 1
@@ -215,7 +275,8 @@ def main_text(tree, page: str | None) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for each row of pages (page_id, url, html), from its whole html.
 
-    Null html counts as empty; its text is ''. Tags left open or closed twice are no error. Repeated rows stay, an empty table gives no
+    Null html counts as empty; its text is ''. Tags left open or closed twice are no error; only a script, style,
+    textarea or title left open holds the rest of the page. Repeated rows stay, an empty table gives no
     rows, other columns are ignored. Rows are read once, without a shuffle; the tree is a few hundred numbers in the task's code.
     """
     tree = train()

@@ -523,6 +523,20 @@ def test_main_text(spark):
     assert mainhtml.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_elements_left_open_lose_nothing():
+    texts = lambda page: [b.text for b in mainhtml.blocks(page)]
+    article = "<article><p>The first words.</p><p>More of them.</p></article>"
+    want = ["The first words.", "More of them."]
+    for head in (
+        "<form><datalist><option value=a><option value=b></datalist></form>", "<form><button>Go</form>", "<div><button>Go<div>", "<select><option>A<option>B</select>", "<select><option>A<option>B", "<p><span><button>Go</span></p>",
+        "<object data=x>", "<video src=x>", "<audio>no sound", "<noscript>Switch it on", "<template>", "<iframe src=x>", "<svg><path d=x>", "<canvas>", "<script>var x = '<button>'</script>", "<button><div>Go</div></button>", "<svg><svg></svg><text>no</text></svg>", "<!--<button>-->",
+    ):
+        assert texts(head + article) == want, head
+        assert texts(head + article + "<button>End</button><select><option>c</option></select><object></object>") == want, head
+    assert texts("<div><svg>" * 2000 + "</div></svg>" * 2000 + article) == want
+    assert texts("<p>a<textarea>b<p>c") == ["a"]
+
+
 def test_tree_generalises():
     tree = mainhtml.train()
     pages = [mainhtml.blocks(p) for p in mainhtml.labelled_pages(6, seed=123)]
