@@ -82,7 +82,7 @@ def evaluate_systems(sets: dict[str, DataFrame], systems: dict[str, Callable[[],
     for name, frame in sets.items():
         for system, model in systems.items():
             done = translate(frame, model, "src")
-            row = chrf(done.withColumn("ref", F.element_at("refs", 1))).crossJoin(bleu(done)).crossJoin(done.agg(F.count("*").alias("n")))  # one row each
+            row = chrf(done).crossJoin(bleu(done)).crossJoin(done.agg(F.count("*").alias("n")))  # one row each
             row = row.select(F.lit(name).alias("test_set"), F.lit(system).alias("system"), "n", "chrf", "bleu")
             out = row if out is None else out.unionByName(row)
     return out

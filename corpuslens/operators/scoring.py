@@ -97,15 +97,29 @@ def gram_matches(df: DataFrame, by: list[str], orders: list[tuple[str, int, Colu
 
 
 def chrf(df: DataFrame, *by: str, char_order: int = 6, word_order: int = 2, beta: float = 2.0) -> DataFrame:
-    """(by, chrf): chrF++ of a corpus with columns id, hyp, ref, as published: the mean of F-scores over character and word n-grams."""
+    """(by, chrf): chrF++ of a corpus with columns id, hyp and ref or refs (array), as published: the mean of F-scores over character and word n-grams.
+
+    Of several references a hypothesis counts with the one that gives it the best score of its own, the first of equals.
+    """
+    many = "refs" in df.columns
+    if many:
+        df = df.select(*by, "id", "hyp", F.posexplode_outer(F.filter("refs", lambda x: x.isNotNull())).alias("_k", "ref")).na.fill(0, ["_k"]).na.fill("", ["ref"])
+        df = df.withColumn("_id", F.col("id"))
+    one = ["_id", "_k"] if many else []
     letters = lambda c: F.filter(F.split(F.regexp_replace(c, r"\s+", ""), ""), lambda x: x != "")
     marked = lambda c: split_words(F.regexp_replace(F.regexp_replace(c, r"([^\p{L}\p{N}\s])(?=\s|$)", " $1"), r"(?<=\s|^)([^\p{L}\p{N}\s])", "$1 "))
-    rows = df.select(*by, "id", letters("hyp").alias("hc"), letters("ref").alias("rc"), marked("hyp").alias("hw"), marked("ref").alias("rw"))
+    rows = df.select(*by, *one, "id", letters("hyp").alias("hc"), letters("ref").alias("rc"), marked("hyp").alias("hw"), marked("ref").alias("rw"))
     orders = [("char", n, _grams(F.col("hc"), n, ""), _grams(F.col("rc"), n, "")) for n in range(1, char_order + 1)]
     orders += [("word", n, _grams(F.col("hw"), n, " "), _grams(F.col("rw"), n, " ")) for n in range(1, word_order + 1)]
     p, r = F.try_divide(F.col("matched"), F.col("of_hyp")), F.try_divide(F.col("matched"), F.col("of_ref"))
     score = F.coalesce(F.try_divide((1 + beta**2) * p * r, beta**2 * p + r), F.lit(0.0))
-    each = gram_matches(rows, list(by), orders).where("of_hyp > 0 and of_ref > 0").withColumn("f", score)
+    sums = gram_matches(rows, [*by, *one], orders)
+    if many:
+        own = F.coalesce(F.avg(F.when((F.col("of_hyp") > 0) & (F.col("of_ref") > 0), score)), F.lit(0.0)).alias("own")
+        tried = sums.groupBy(*by, *one).agg(own, F.collect_list(F.struct("kind", "n", "matched", "of_hyp", "of_ref")).alias("s"))
+        best = tried.groupBy(*by, "_id").agg(F.max_by("s", F.struct("own", -F.col("_k"))).alias("s")).select(*by, F.explode("s").alias("s")).select(*by, "s.*")
+        sums = best.groupBy(*by, "kind", "n").agg(*[F.sum(c).alias(c) for c in ("matched", "of_hyp", "of_ref")])
+    each = sums.where("of_hyp > 0 and of_ref > 0").withColumn("f", score)
     return each.groupBy(*by).agg((100 * F.avg("f")).alias("chrf"))
 
 

@@ -88,6 +88,20 @@ def test_translation_scores(spark):
     assert abs(scoring.bleu(half).first()[0] - want) < 1e-9
 
 
+def test_chrf_takes_the_best_of_several_references(spark):
+    kinds = "id string, hyp string, refs array<string>"
+    first, second, far = "the cat sat on the mat", "a dog lay under that table", "nothing alike here, is there"
+    rows = [("1", second, [first, second]), ("2", first, [first, far]), ("3", "the dog sat under a mat", [far, None, "the dog sat under the mat"]), ("4", "words", ["", "wordy"])]
+    best = [("1", second, second), ("2", first, first), ("3", "the dog sat under a mat", "the dog sat under the mat"), ("4", "words", "wordy")]
+    got = scoring.chrf(spark.createDataFrame(rows, kinds)).first()[0]
+    assert abs(got - scoring.chrf(spark.createDataFrame(best, "id string, hyp string, ref string")).first()[0]) < 1e-9
+    by = {r.g: r.chrf for r in scoring.chrf(spark.createDataFrame(rows, kinds).withColumn("g", F.col("id") < "3"), "g").collect()}
+    assert abs(by[True] - 100) < 1e-9 > by[False] - 100
+    sets = {"bible": spark.createDataFrame([("1", second, [first, second]), ("2", first, [first, second])], "id string, src string, refs array<string>")}
+    row = infer.evaluate_systems(sets, {"copy": lambda: lambda texts: texts}).first()
+    assert row.n == 2 and abs(row.chrf - 100) < 1e-9 and abs(row.bleu - 100) < 1e-9
+
+
 def components(items):
     low = {i: i for i, *_ in items}
     changed = True
