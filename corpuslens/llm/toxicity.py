@@ -59,17 +59,33 @@ def train(examples: list[tuple[np.ndarray, int, float]]) -> tuple[np.ndarray, np
     return np.concatenate([[0], found]), np.concatenate([[start], weights(found)])
 
 
-def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = [(doc, np.unique(features(text)).astype(np.int32), label) for batch in batches for doc, text, label in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-    rows.sort(key=lambda x: (x[0], len(x[1])))
-    if rows:
-        at, w = train([(f, int(label), 1.0) for _, f, label in rows])
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w)], names=["feature", "weight"])
+def _learn(weight: dict[int, float]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [(doc, np.unique(features(text)).astype(np.int32), label) for batch in batches for doc, text, label in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+        rows.sort(key=lambda x: (x[0], len(x[1])))
+        if rows:
+            at, w = train([(f, int(label), weight[int(label)]) for _, f, label in rows])
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w)], names=["feature", "weight"])
+
+    return run
+
+
+def usable(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic) of labels that aren't held out: one row per doc_id (1 if any says so)."""
+    return labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
+
+
+def class_weights(labels: DataFrame) -> dict[int, float]:
+    """The weight of a sampled row by label: labels of its class by those sampled, 1 in the mean; thus the base rate is that of all labels, whichever class is capped."""
+    n = {0: 0, 1: 0} | {r["toxic"]: r["count"] for r in usable(labels).groupBy("toxic").count().collect()}
+    taken = {0: min(n[0], MOST_CLEAN), 1: min(n[1], MOST_TOXIC)}
+    mean = sum(n.values()) / max(1, sum(taken.values()))
+    return {y: n[y] / taken[y] / mean if taken[y] else 1.0 for y in n}
 
 
 def sample(labels: DataFrame) -> DataFrame:
-    """(doc_id, toxic) to learn from: not held out, one row per doc_id (1 if any says so), at most MOST_TOXIC and MOST_CLEAN rows."""
-    one = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
+    """(doc_id, toxic) to learn from: usable labels, at most MOST_TOXIC and MOST_CLEAN rows."""
+    one = usable(labels)
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     pick = lambda y, n: one.where(F.col("toxic") == y).orderBy(*order).limit(n)
     return pick(1, MOST_TOXIC).unionByName(pick(0, MOST_CLEAN))
@@ -83,7 +99,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Weights learnt from labelled rows of docs; (empty, empty) without any. The sample is bounded, and so is what comes back."""
     picked = sample(labels).withColumnRenamed("doc_id", "_id")
     rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select("doc_id", F.col("text").cast("string"), "toxic")
-    found = map_arrow(rows.repartition(1), _learn, "feature long, weight double").toArrow()
+    found = map_arrow(rows.repartition(1), _learn(class_weights(labels)), "feature long, weight double").toArrow()
     return found["feature"].to_numpy(), found["weight"].to_numpy()
 
 

@@ -459,6 +459,18 @@ def test_toxicity(spark):
     assert left == {r.doc_id for r in got if not r.predicted}
 
 
+def test_toxicity_base_rate_is_that_of_all_labels(spark, monkeypatch):
+    docs, labels, truth = labelled(spark, 600)
+    learnt = [y for i, y in truth.items() if zlib.crc32(str(i).encode()) % 5]
+    assert toxicity.class_weights(labels) == {0: 1.0, 1: 1.0}
+    monkeypatch.setattr(toxicity, "MOST_TOXIC", 60)
+    monkeypatch.setattr(toxicity, "MOST_CLEAN", 80)
+    w = toxicity.class_weights(labels)
+    assert abs((60 * w[1] + 80 * w[0]) / 140 - 1) < 1e-9
+    got = {r.doc_id: r.score for r in toxicity.score_documents(docs.unionByName(documents(spark, [(10_000, "")])), labels).collect()}
+    assert abs(got[10_000] - sum(learnt) / len(learnt)) < 1e-6
+
+
 def test_toxicity_hard_cases(spark, hard):
     labels = spark.createDataFrame([(7, 1), (7, 0), (8, 0), (None, 1), (9, None), (999, 1)], "doc_id long, toxic int")
     got = toxicity.score_documents(documents(spark, hard), labels).collect()
