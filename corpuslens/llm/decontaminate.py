@@ -109,9 +109,10 @@ def contained(docs: DataFrame, items: DataFrame, min_containment: float = MIN_CO
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, min_containment: float = MIN_CONTAINMENT) -> DataFrame:
-    """docs without documents that contain a benchmark item; rows without doc_id stay."""
-    found = stored(contained(docs, items, min_containment).select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
-    return docs.join(found, docs.doc_id == F.col("_leak"), "left_anti")
+    """docs without rows that contain a benchmark item. Each row counts by itself: those without doc_id, or with a shared one, are told apart by a hash of doc_id and text."""
+    row = F.xxhash64(docs.doc_id.cast("long"), docs.text.cast("string"))
+    found = stored(contained(docs.select(row.alias("doc_id"), "text"), items, min_containment).select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
+    return docs.join(found, row == F.col("_leak"), "left_anti")
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -430,6 +430,16 @@ def test_licence_files_as_published(spark):
     assert [(i, got[i].license_id) for i in range(len(cases))] == [(i, c[0]) for i, c in enumerate(cases)]
 
 
+def test_leaks_in_rows_without_an_id_of_their_own(spark):
+    draw = random.Random(31)
+    item = prose(draw, 40, 10**5)
+    rows = [(None, prose(draw, 50, 10**5) + " " + item), (None, "clean"), (None, None), (3, "clean too"), (3, item + " and more"), (4, item), (5, "x")]
+    left = decontaminate.without_leaks(documents(spark, rows), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted((r.doc_id or 0, r.text or "") for r in left.collect()) == [(0, ""), (0, "clean"), (3, "clean too"), (5, "x")] and left.columns == documents(spark, []).columns
+    halves = [(6, item[: len(item) // 2]), (6, item[len(item) // 2 :])]
+    assert decontaminate.without_leaks(documents(spark, halves), spark.createDataFrame([(1, item)], "item_id long, text string")).count() == 2
+
+
 # --- toxicity
 
 
