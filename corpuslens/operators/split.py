@@ -3,55 +3,40 @@
 from __future__ import annotations
 
 import random
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpuslens.functions import text as T
+from corpuslens.storage import drop, stored
 
 
-def _shared_dir(spark: SparkSession) -> str:
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    if given:
-        return given.rstrip("/")
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if not held.isDefined():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corpuslens-"))
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return held.get().rstrip("/")
-
-
-def _cut(df: DataFrame, name: str) -> DataFrame:
-    """df by way of a table in the shared folder: its lineage ends there."""
-    path = f"{_shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def linked_groups(items: DataFrame, item: str, keys: list[str], most_rounds: int = 60) -> DataFrame:
+def linked_groups(items: DataFrame, item: str, keys: list[str]) -> DataFrame:
     """(item, grp): items that share a key, directly or through others, share a group; groups are numbered from 0 by their least item.
 
-    Keys are tagged with their position, so equal strings in different positions don't link. Labels are the least item
-    reached; each round takes the least of an item's keys' least labels and then follows labels once (pointer jumping), so
-    the rounds grow with the logarithm of a chain's length. Each round's labels are written to the shared folder.
+    Keys are tagged with their position, so equal strings in different positions don't link, and go by a 128-bit hash: whole texts may be
+    keys. Labels are the least item reached; each round takes the least of an item's keys' least labels and then follows labels
+    once (pointer jumping), so the rounds grow with the logarithm of a chain's length; they end when no label changes. Each
+    round's labels are written to the shared folder and those before it removed. What is joined is stored first, so that a key that many items hold
+    is split over tasks as a skewed join.
     """
-    tagged = F.array(*[F.struct(F.lit(n).alias("at"), F.col(k).cast("string").alias("key")) for n, k in enumerate(keys)])
-    edges = items.select(F.col(item).alias("item"), F.explode(tagged).alias("e")).select("item", "e.at", "e.key").where("key is not null").distinct()
-    edges = _cut(edges, "links")
-    labels = _cut(items.select(F.col(item).alias("item"), F.col(item).alias("label")).distinct(), "labels")
-    for _ in range(most_rounds):
-        of_key = edges.join(labels, "item").groupBy("at", "key").agg(F.min("label").alias("low"))
-        pulled = edges.join(of_key, ["at", "key"]).groupBy("item").agg(F.min("low").alias("low"))
-        lower = labels.join(pulled, "item", "left").select("item", "label", F.least("label", F.coalesce("low", "label")).alias("low"))
-        lower = _cut(lower, "lower")
+    tagged = F.array(*[F.when(F.col(k).isNotNull(), F.md5(F.concat(F.lit(f"{n}:"), F.col(k).cast("string")).cast("binary"))) for n, k in enumerate(keys)])
+    edges = items.select(F.col(item).alias("item"), F.explode(tagged).alias("key")).where("key is not null").distinct()
+    edges = stored(edges, "links")
+    labels = stored(items.select(F.col(item).alias("item"), F.col(item).alias("label")).distinct(), "labels")
+    while True:
+        of_key = stored(edges.join(labels, "item").groupBy("key").agg(F.min("label").alias("low")), "keys")
+        pulled = edges.join(of_key, "key").groupBy("item").agg(F.min("low").alias("low"))
+        lower = stored(labels.join(pulled, "item", "left").select("item", "label", F.least("label", F.coalesce("low", "label")).alias("low")), "lower")
         target = lower.select(F.col("item").alias("_to"), F.col("low").alias("_low"))
-        new = _cut(lower.join(target, lower.low == target["_to"]).select("item", F.least("low", "_low").alias("label"), F.col("label").alias("old")), "labels")
-        labels = new.select("item", "label")
+        new = stored(lower.join(target, lower.low == target["_to"]).select("item", F.least("low", "_low").alias("label"), F.col("label").alias("old")), "labels")
+        drop(of_key, lower, labels)
+        labels = new
         if not new.where("label <> old").limit(1).count():
             break
+    drop(edges)
+    labels = labels.select("item", "label")
     roots = labels.select("label").distinct()
     numbered = _numbered(roots, "label").select("label", (F.col("_rank") - 1).alias("grp"))
     return labels.join(numbered, "label").select(F.col("item").alias(item), "grp")
@@ -59,7 +44,7 @@ def linked_groups(items: DataFrame, item: str, keys: list[str], most_rounds: int
 
 def _numbered(df: DataFrame, order: str) -> DataFrame:
     """df with _rank from 1 in the order of a column of distinct values: sorted in ranges, ranges counted, no task that sees all rows."""
-    dealt = _cut(df.repartitionByRange(order).select("*", F.spark_partition_id().alias("_part")), "ranges")
+    dealt = stored(df.repartitionByRange(order).select("*", F.spark_partition_id().alias("_part")), "ranges")
     counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))  # a row per range
     before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
     within = dealt.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(order)))

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuslens.storage import read as read  # for the modules of queries
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -23,17 +25,6 @@ def query(sql: str | None = None):
     return add
 
 
-#: Tables of long texts.
-TEXTS = ("documents", "pages", "conversations")
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table. Texts that are read by fewer tasks than there are cores (a small file has one row group) are dealt out first; large inputs stay as they are read."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if name in TEXTS and df.rdd.getNumPartitions() < cores else df
-
-
 def dirty(df: DataFrame) -> DataFrame:
     """documents with what the generated texts lack: combining marks, no-break spaces, typographic quotes."""
     made = F.replace(F.replace(F.col("text"), F.lit("\u00e9"), F.lit("e\u0301")), F.lit(". "), F.lit(".\u00a0\u201c"))
