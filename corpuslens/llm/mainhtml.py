@@ -15,28 +15,37 @@ from pyspark.sql import functions as F
 
 from corpuslens.llm.common import map_arrow, read
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>|<[/a-zA-Z!?][^>]*>""", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_SPECIAL = re.compile(r""">|=\s*["']""")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_WORDS = re.compile(r"[a-z]+")
 
 #: Elements that hold no tags and end at their own end tag only.
 RAW = frozenset("script style textarea title".split())
-#: Other elements whose content is no text of the page; those of NESTED may hold themselves.
+#: Elements without content.
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Other elements whose content is no text of the page.
 DROPPED = frozenset("noscript template iframe svg math object canvas audio video select option button".split())
-NESTED = frozenset("template svg object".split())
 #: Elements that part blocks.
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
-#: Elements that contain others and that are kept on the stack.
-CONTAINER = frozenset("article aside blockquote details dialog div dl fieldset figure footer form header main menu nav ol search section table ul".split())
-#: Elements and names of classes, ids and roles that tell of what surrounds an article.
-AROUND = frozenset("nav footer aside form menu dialog search".split())
-NAMES_AROUND = frozenset(
-    "ad ads advert advertisement adverts adv sponsor sponsored promo promoted promotion banner breadcrumb breadcrumbs comment comments reply replies disqus cookie cookies consent gdpr notice notices alert popup modal overlay nav navbar navigation menu sidebar side footer foot copyright share sharing social related recommended recommendations newsletter subscribe subscription signup login search widget widgets pagination pager toolbar masthead topbar header complementary contentinfo skip toc tags".split()
+#: Elements that contain others and whose names tell of their content.
+CONTAINER = frozenset("article aside blockquote details dialog div dl fieldset figure footer form header li main menu nav ol search section table td ul".split())
+#: Elements and names that never hold the article; what they hold is around it, whatever its own names are.
+NEVER = frozenset("nav footer aside menu dialog".split())
+NAMES_NEVER = frozenset(
+    "ad ads advert adverts advertisement adv sponsor sponsored promo promoted promotion breadcrumb breadcrumbs comment comments reply replies disqus cookie cookies consent gdpr notice notices alert popup modal overlay footer copyright share sharing social related recommended recommendations newsletter subscribe subscription pagination pager complementary contentinfo".split()
 )
-#: Names that tell of the article itself.
-NAMES_ARTICLE = frozenset("article content main post entry story body text prose".split())
+#: Elements and names that mostly are around the article, but are used of frames of a whole page too: an article within them is one.
+OFTEN = frozenset("form search".split())
+NAMES_OFTEN = frozenset("banner nav navbar navigation menu sidebar side foot signup login search widget widgets toolbar masthead topbar header skip toc tags".split())
+#: Names that tell of the article itself; of the second kind only where nothing around it is told.
+NAMES_ARTICLE, NAMES_TEXT = frozenset("article post entry story".split()), frozenset("content main body text prose".split())
+#: First and last parts of a class that tells of the state of a page, not of what an element holds.
+STATES_FIRST = frozenset("has is no not with without js layout".split())
+STATES_LAST = frozenset("open opened closed active visible hidden enabled disabled collapsed expanded layout page".split())
+#: Words by which a heading opens the comments of readers.
+COMMENTS = frozenset("comment comments reply replies responses kommentar kommentare commentaire commentaires réaction réactions comentario comentarios respuestas".split())
 
 
 @dataclass
@@ -45,92 +54,147 @@ class Block:
     words: int
     linked: float
     article: bool
-    around: bool
+    around: int  # 0 nothing around the article, 1 often so, 2 always so
     kind: int  # 0 other, 1 paragraph, 2 heading, 3 list item or cell
+    commented: bool  # after a heading of comments, in the part that it heads
     mark: str
 
 
-def _place(name: str, attributes: str) -> tuple[bool, bool]:
-    """(article, around) of what an element holds."""
+def _place(name: str, attributes: str, article: bool, around: int) -> tuple[bool, int]:
+    """(article, around) of what an element holds, given those of where it stands."""
+    if name in ("html", "body"):  # classes of a page tell of its layout
+        return False, 0
     names: set[str] = set()
     for m in _ATTRIBUTE.finditer(attributes) if attributes else ():
-        names.update(_WORDS.findall((m[2] or m[3] or m[4] or "").lower()))
-    good = name in ("article", "main") or bool(names & NAMES_ARTICLE)
-    hints = names & NAMES_AROUND
-    if good and hints <= {"header", "text", "body", "side"}:
-        hints = frozenset()
-    return good and not hints, name in AROUND or bool(hints)
-
-
-def _after_raw(page: str, at: int, name: str) -> int:
-    close = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-    return close.end() if close else len(page)
-
-
-def _tags(page: str, at: int) -> Iterator[tuple[re.Match, str, bool]]:
-    """(tag, name, closing) from a place on, without what raw elements hold and without tags that close themselves."""
-    while m := _TAG.search(page, at):
-        at, name = m.end(), (m[2] or "").lower()
-        if name in RAW:
-            at = at if m[1] or m[3].endswith("/") else _after_raw(page, at, name)
-        elif name and not (not m[1] and m[3].endswith("/")):
-            yield m, name, bool(m[1])
-
-
-def _closes(page: str) -> dict[int, re.Match]:
-    """The end tag of each element of DROPPED, by the place of its start tag; elements left open have none."""
-    found: dict[int, re.Match] = {}
-    opened: dict[str, list[int]] = {}
-    for m, name, closing in _tags(page, 0):
-        if name in DROPPED:
-            mine = opened.setdefault(name, [])
-            if closing and mine:
-                found[mine.pop()] = m
-            elif not closing:
-                if name not in NESTED:
-                    mine.clear()
-                mine.append(m.start())
-    return found
-
-
-def _after_dropped(page: str, start: re.Match, name: str, close: re.Match | None, broken: int) -> tuple[int, int]:
-    """(where text goes on after an element of DROPPED, broken): after its end tag. One left open ends at the next block, at its parent's end tag or where the
-    next of its name begins, and so does one whose parent ends before its end tag; broken is the last such end tag of a parent."""
-    if close and start.end() <= broken < close.start():
-        close = None
-    resume, opened = None, {}
-    for m, n, closing in _tags(page, start.end()):
-        if close and m.start() >= close.start():
+        for one in (m[2] or m[3] or m[4] or "").lower().split():
+            parts = re.findall(r"[a-z]+", one)
+            if parts and not (len(parts) > 1 and (parts[0] in STATES_FIRST or parts[-1] in STATES_LAST)):
+                names.update(parts)
+    told = name == "article" or name == "main" or bool(names & NAMES_ARTICLE)
+    if name in NEVER or (names & NAMES_NEVER):
+        return False, 2
+    if around == 2:
+        return False, 2
+    often = names & NAMES_OFTEN
+    if told and not often - {"header", "side", "tags"}:
+        return True, 0
+    if article:
+        often = often - {"header"}
+    if name in OFTEN or often or (name == "header" and not article):
+        return article, 1
+    return article or (not around and bool(names & NAMES_TEXT)), around
+
+
+class Tag:
+    __slots__ = ("attributes", "closing", "end", "name", "partner", "start")
+
+    def __init__(self, start: int, end: int, name: str, closing: bool, attributes: str):
+        self.start, self.end, self.name, self.closing, self.attributes = start, end, name, closing, attributes
+        self.partner = -1  # of an end tag the number of its start tag, and the reverse
+
+
+def tags(page: str) -> list[Tag]:
+    """The tags of a page in order, with comments and what raw elements hold as tags of the names '!' and '#'. Each place is looked at a bounded number of times."""
+    out: list[Tag] = []
+    at, n = 0, len(page)
+    known: dict[str, tuple[int, int]] = {}  # from where each string was last looked for, and where it was
+    lenient = False
+
+    def find(what: str, start: int) -> int:
+        since, found = known.get(what, (1, 0))
+        if since <= start and (found < 0 or start <= found):
+            return found
+        found = page.find(what, start)
+        known[what] = start, found
+        return found
+
+    while (at := find("<", at)) >= 0:
+        if find(">", at) < 0:  # no tag is closed any more, only a comment may hold the rest
+            rest = page.find("<!--", at)
+            out += [Tag(rest, n, "!", False, "")] if rest >= 0 else []
             break
-        lone = closing and n != "br" and not opened.get(n)
-        if resume is None and (lone or n in BLOCK or (n == name and not closing)):
-            resume = m.start()
-        if resume is not None and not close:
-            return resume, broken
-        if lone:
-            return resume, m.start()
-        opened[n] = opened.get(n, 0) + (-1 if closing else 1)
-    return close.end() if close else len(page), broken
+        if page.startswith("<!--", at):
+            end = find("-->", at + 4)
+            end = n if end < 0 else end + 3
+            out.append(Tag(at, end, "!", False, ""))
+            at = end
+            continue
+        closing = page.startswith("/", at + 1)
+        m = _NAME.match(page, at + 1 + closing)
+        if not m:
+            if page[at + 1 : at + 2] in ("/", "!", "?"):
+                end = find(">", at) + 1
+                out.append(Tag(at, end, "!", False, ""))
+                at = end
+            else:
+                at += 1
+            continue
+        start = end = m.end()
+        stop = find(">", end)
+        while not lenient:  # the next > outside quoted values
+            special = _SPECIAL.search(page, end)
+            if special is None:  # none: from here on quotes don't count
+                lenient = True
+            elif special[0] == ">":
+                stop = special.start()
+                break
+            else:
+                close = find(special[0][-1], special.end())
+                end = special.end() if close < 0 else close + 1
+        name = m[0].lower()
+        out.append(Tag(at, stop + 1, name, closing, page[start:stop]))
+        at = stop + 1
+        if name in RAW and not closing and not out[-1].attributes.endswith("/"):
+            last = re.compile(rf"</{name}(?![\w-])", re.I).search(page, at)
+            end = find(">", last.end()) + 1 if last else n
+            end = end or n
+            out.append(Tag(at, end, "#", False, ""))
+            at = end
+    return out
+
+
+def _paired(found: list[Tag]) -> None:
+    """Set the partner of each start tag and end tag that belong together: an end tag closes the last open element of its name and all within it."""
+    opened: list[int] = []
+    many: dict[str, int] = {}
+    for k, tag in enumerate(found):
+        if tag.name in ("!", "#") or tag.name in VOID or tag.name in RAW or (not tag.closing and tag.attributes.endswith("/")):
+            continue
+        if not tag.closing:
+            opened.append(k)
+            many[tag.name] = many.get(tag.name, 0) + 1
+        elif many.get(tag.name):
+            while True:
+                last = opened.pop()
+                many[found[last].name] -= 1
+                if found[last].name == tag.name:
+                    found[last].partner, tag.partner = k, last
+                    break
 
 
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page, in order; marks (comments of the form "mark:x") are for labelled pages."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []
+    found = tags(page)
+    _paired(found)
+    stack: list[tuple[str, bool, int, bool]] = []  # name, article, around, commented
     parts: list[str] = []
     kind, link, link_words, at, mark, marked = 0, 0, 0, 0, "", ""
-    closes: dict[int, re.Match] | None = None
-    broken = -1
+    root_commented = False
 
     def flush() -> None:
-        nonlocal parts, link_words
+        nonlocal parts, link_words, root_commented
         text = " ".join("".join(parts).split()) if parts else ""
         if text:
             words = text.count(" ") + 1
-            article = any(a for _, a, _ in stack)
-            # A page's header is around the article; a header within an article is part of it.
-            around = any(b for _, _, b in stack) or (not article and any(n == "header" for n, _, _ in stack))
-            out.append(Block(text, words, min(1.0, link_words / words), article, around, kind, marked))
+            _, article, around, commented = stack[-1] if stack else ("", False, 0, root_commented)
+            if (kind == 2 or words <= 4) and not commented and link_words == 0 and _heads_comments(text, words):
+                commented = True
+                if stack:
+                    stack[-1] = (*stack[-1][:3], True)
+                else:
+                    root_commented = True
+            out.append(Block(text, words, min(1.0, link_words / words), article, around, kind, commented, marked))
         parts, link_words = [], 0
 
     def add(raw: str) -> None:
@@ -142,48 +206,54 @@ def blocks(page: str) -> list[Block]:
         if link:
             link_words += len(text.split())
 
-    end = len(page)
-    while at < end:
-        m = _TAG.search(page, at)
-        if m is None:
-            add(page[at:])
-            break
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
-            if m[0].startswith("<!--mark:"):
-                mark = m[0][9:-3]
-            continue
-        closing, name = bool(m[1]), m[2].lower()
-        if name in RAW:
-            if not closing and not m[3].endswith("/"):
-                at = _after_raw(page, at, name)
-            continue
-        if name in DROPPED:
-            if not closing and not m[3].endswith("/"):
-                closes = _closes(page) if closes is None else closes
-                at, broken = _after_dropped(page, m, name, closes.get(m.start()), broken)
-            continue
-        if name == "a":
-            link = 0 if closing else 1
+    k = 0
+    while k < len(found):
+        tag = found[k]
+        if tag.start > at:
+            add(page[at : tag.start])
+        at, name, k = tag.end, tag.name, k + 1
+        if name == "!":
+            if page.startswith("<!--mark:", tag.start):
+                mark = page[tag.start + 9 : tag.end - 3]
+        elif name in DROPPED:
+            if not tag.closing and not tag.attributes.endswith("/"):
+                if tag.partner >= 0:
+                    at, k = found[tag.partner].end, tag.partner + 1
+                else:  # left open: to the next block, the next of its name or the end of an element around it
+                    mine = k - 1
+                    while k < len(found) and not (found[k].name in BLOCK and not found[k].closing or found[k].name == name and not found[k].closing or found[k].closing and 0 <= found[k].partner < mine):
+                        k += 1
+                    at = found[k].start if k < len(found) else len(page)
+        elif name == "a":
+            link = 0 if tag.closing else 1
         elif name == "br":
             parts.append(" ")
         elif name in BLOCK:
             flush()
             link = 0
-            kind = 0 if closing else 1 if name == "p" else 2 if name in ("h1", "h2", "h3", "h4", "h5", "h6") else 3 if name in ("li", "td", "th", "dd", "dt") else 0
+            kind = 0 if tag.closing else 1 if name == "p" else 2 if name in ("h1", "h2", "h3", "h4", "h5", "h6") else 3 if name in ("li", "td", "th", "dd", "dt") else 0
             if name in CONTAINER:
-                if not closing:
-                    stack.append((name, *_place(name, m[3])))
-                elif any(n == name for n, _, _ in stack):
-                    while stack.pop()[0] != name:
+                if not tag.closing:
+                    _, article, around, commented = stack[-1] if stack else ("", False, 0, root_commented)
+                    stack.append((name, *_place(name, tag.attributes, article, around), commented))
+                elif tag.partner >= 0:
+                    while stack and stack.pop()[0] != name:
                         pass
+    if at < len(page):
+        add(page[at:])
     flush()
     return out
 
 
-FEATURES = ("words", "link density", "words before", "link density before", "words after", "link density after", "in article", "around", "kind", "ends as a sentence")
+def _heads_comments(text: str, words: int) -> bool:
+    """Whether a short text heads the comments of readers: it names them and is little else."""
+    if words > 4:
+        return False
+    told = re.findall(r"[^\W\d_]+", text.lower())
+    return bool(COMMENTS & set(told)) and len(told) <= 3 and text[-1] not in ".!?"
+
+
+FEATURES = ("words", "link density", "words before", "link density before", "words after", "link density after", "in article", "around", "kind", "ends as a sentence", "after a heading of comments", "page tells its article")
 
 
 def features(found: list[Block]) -> np.ndarray:
@@ -191,7 +261,8 @@ def features(found: list[Block]) -> np.ndarray:
         return np.zeros((0, len(FEATURES)))
     own = np.array([(min(b.words, 1000), b.linked) for b in found], float)
     pad = np.vstack([[0, 0], own, [0, 0]])
-    rest = np.array([(b.article, b.around, b.kind, b.text[-1] in ".!?…:;\"'”»)") for b in found], float)
+    told = float(any(b.article and b.around < 2 for b in found))
+    rest = np.array([(b.article, b.around, b.kind, b.text[-1] in ".!?…:;\"'”»)", b.commented, told) for b in found], float)
     return np.hstack([own, pad[:-2], pad[2:], rest])
 
 
@@ -213,6 +284,17 @@ LAYOUTS = (
     ((0, '<div class="nav"><a>[1]</a> <a>[2]</a></div><div class="ads">{20}</div>'), (1, "<main><h1>[4]</h1><p>{30}</p><p><a>[6]</a></p><div>[30]</div><p>[4]</p></main>"), (0, "<p>[6]</p><div><a>[3]</a></div>")),
     ((1, "<article><h1>[5]</h1><p>{40}</p><p>{5}</p></article>"), (0, '<div class="comments"><p>{40}</p><p>{12}</p></div>')),
     ((0, "<div>[2]</div><div><a>[1]</a></div><ul><li><a>[2]</a></li><li><a>[1]</a></li></ul>"), (1, "<div><h2>[5]</h2><p>{75}</p><ul><li>{14}</li><li>{11}</li><li>{19}</li></ul><p>{42}</p></div>"), (0, "<ul><li><a>[3]</a></li><li><a>[4]</a></li></ul><div>[4] <a>[1]</a></div>")),
+    # Pages that tell nothing of their parts: what stands beside a block decides.
+    ((0, "<div><a>[1]</a></div><div><a>[2]</a></div><div>[2]</div><div><a>[1]</a></div>"), (1, "<div>[6]</div><div>{70}</div><div>{5}</div><div>{40}</div><div>[3]</div><div>{55}</div>"), (0, "<div><a>[3]</a></div><div>[3]</div><div><a>[2]</a></div><div>[4]</div><div><a>[4]</a></div>")),
+    ((0, "<ul><li><a>[1]</a></li><li>[2]</li><li><a>[2]</a></li></ul><p><a>[1]</a></p><p>[3]</p><p><a>[2]</a></p>"), (1, "<p>{30}</p><p>{4}</p><p>{60}</p><p>[2]</p><p>{35}</p>"), (0, "<p><a>[5]</a></p><p>[2]</p><p><a>[6]</a></p><p>[5]</p>")),
+    ((0, "<table><tr><td><a>[1]</a></td><td>[1]</td><td><a>[2]</a></td></tr></table>"), (1, "<h2>[4]</h2><p>{28}</p><p>{2}</p><p>{44}</p><h3>[2]</h3><p>{37}</p><p>{6}</p><p>{26}</p>"), (0, "<p><a>[2]</a> - <a>[2]</a> - <a>[1]</a></p><p>© [2]</p><p><a>[1]</a></p>")),
+    # Frames around a whole page that are named like its parts, and comments that only a heading tells of.
+    ((0, '<form id="f"><div><a>[1]</a> <a>[2]</a></div>'), (1, "<div><h1>[5]</h1><p>{60}</p><p>{12}</p><p>{45}</p></div>"), (0, "<div><a>[3]</a></div><div><input>[2]</div></form>")),
+    ((0, '<div class="search sidebar"><p><a>[2]</a></p>'), (1, "<div><h1>[6]</h1><p>{52}</p><p>{9}</p><p>{71}</p></div>"), (0, "<p>[2]</p><p><a>[4]</a></p></div>")),
+    ((0, '<div class="login"><p>{6}</p><p>[1]</p></div>'), (1, "<article><h1>[5]</h1><p>{65}</p><p>{14}</p></article>"), (0, '<div class="sidebar"><p>{30}</p><p>{11}</p></div><div class="widget"><p>{45}</p></div>')),
+    ((1, "<article><h1>[5]</h1><p>{40}</p><p>{25}</p></article>"), (0, "<div><h3>3 comments</h3><div>[1]</div><p>{30}</p><p>{9}</p><div>[2]</div><p>{52}</p></div>")),
+    ((1, "<div><h1>[5]</h1><p>{40}</p><p>{25}</p>"), (0, "<section><h2>Comments</h2><p>{33}</p><p>{12}</p><p>{61}</p></section></div><p>[3]</p>")),
+    ((0, "<div>{13}</div>"), (1, "<article><h1>[7]</h1><p>{80}</p><p>{3}</p></article>"), (0, "<div><p>{36}</p></div><div>{24}</div>")),
 )
 _FILL = re.compile(r"\{(\d+)\}|\[(\d+)\]")
 

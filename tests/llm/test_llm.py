@@ -88,31 +88,34 @@ def test_golay_keys_meet_for_every_pattern():
     draw = np.random.default_rng(3)
     nearest, near = simhash.coset_table(3), simhash.coset_table(4)
     assert (np.diff(nearest[0]) == 1).all() and len(nearest[1]) == 2048
-    a = draw.integers(0, 1 << 63, 3000).astype(np.uint64)
+    a = draw.integers(0, 1 << 63, 3000).astype(np.uint64) * np.uint64(2) + draw.integers(0, 2, 3000).astype(np.uint64)
     flips = np.array([sum(1 << int(b) for b in draw.choice(64, draw.integers(1, 5), replace=False)) for _ in a], dtype=np.uint64)
     b = a ^ flips
 
-    def keys(x, side):
-        rows, k, _ = simhash.golay_keys(x, nearest, near)[side]
+    def keys(x):
+        rows, k = simhash.golay_keys(x, nearest, near)
+        assert len(set(zip(rows.tolist(), k.tolist(), strict=True))) == len(rows)  # no key twice
         out = [set() for _ in x]
         for r, v in zip(rows.tolist(), k.tolist(), strict=True):
             out[r].add(v)
         return out
 
-    assert all(x & y for x, y in zip(keys(a, 0), keys(b, 1), strict=True))
-    assert all(x & y for x, y in zip(keys(b, 0), keys(a, 1), strict=True))
+    assert all(x & y for x, y in zip(keys(a), keys(b), strict=True))
+    exact = [list(zip(*(k.tolist() for k in simhash.exact_keys(x)), strict=True)) for x in (a[:200], b[:200])]
+    assert all(any(p == q for p, q in zip(x, y, strict=True)) for x, y in zip(*exact, strict=True))
 
 
-def test_dense_groups_link_through_leaders(spark):
-    """Many values within a few bits of each other, and chains of them: components as by brute force, far fewer links than pairs."""
-    draw = random.Random(17)
-    values = {draw.getrandbits(64) for _ in range(50)}
-    for centre in list(values)[:3]:
-        near = [centre]
-        for _ in range(150):
-            near.append(draw.choice(near) ^ sum(1 << b for b in draw.sample(range(64), draw.randrange(1, 3))))
-        values.update(near)
-    values = sorted(values)
+def test_candidates_grow_little_faster_than_values():
+    """Pairs of random values that share a key, for growing numbers of values: far fewer than values."""
+    draw = np.random.default_rng(8)
+    nearest, near = simhash.coset_table(3), simhash.coset_table(4)
+    for n in (20_000, 40_000, 80_000):
+        fps = draw.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2)
+        _, sizes = np.unique(simhash.golay_keys(fps, nearest, near)[1], return_counts=True)
+        assert (sizes * (sizes - 1) // 2).sum() < n / 5
+
+
+def rooted(values, pairs):
     root = {v: v for v in values}
 
     def find(v):
@@ -120,23 +123,45 @@ def test_dense_groups_link_through_leaders(spark):
             v = root[v]
         return v
 
-    pairs = [(a, b) for i, a in enumerate(values) for b in values[i + 1 :] if (a ^ b).bit_count() <= 4]
     for a, b in pairs:
         root[max(find(a), find(b))] = min(find(a), find(b))
+    return {v: find(v) for v in values}
+
+
+@pytest.mark.parametrize("most", [simhash.MOST_HELD, 40])
+def test_dense_groups_link_by_forests(spark, most):
+    """Many values within a few bits of each other, and chains of them: components as by brute force, whether their keys are held whole or get exact keys."""
+    draw = random.Random(17)
+    values = {draw.getrandbits(64) for _ in range(50)}
+    for centre in list(values)[:3]:
+        near = [centre]
+        for _ in range(150):
+            near.append(draw.choice(near) ^ sum(1 << b for b in draw.sample(range(64), draw.randrange(1, 3))))
+        values.update(near)
+    values = sorted(values)
+    pairs = [(a, b) for i, a in enumerate(values) for b in values[i + 1 :] if (a ^ b).bit_count() <= 4]
     signed = lambda v: v - (1 << 64) if v >> 63 else v
-    found = simhash.links(spark.createDataFrame([(signed(v),) for v in values], "fp long")).collect()
-    assert {(r.a, r.b) for r in found} <= {tuple(sorted((signed(a), signed(b)))) for a, b in pairs}
-    mine = {v: v for v in values}
+    found = simhash.links(spark.createDataFrame([(signed(v),) for v in values], "fp long"), most).collect()
+    mine = [(r.a % 2**64, r.b % 2**64) for r in found]
+    assert {tuple(sorted(x)) for x in mine} <= set(pairs)
+    assert rooted(values, mine) == rooted(values, pairs)
 
-    def top(v):
-        while mine[v] != v:
-            v = mine[v]
-        return v
 
-    for r in found:
-        a, b = r.a % 2**64, r.b % 2**64
-        mine[max(top(a), top(b))] = min(top(a), top(b))
-    assert {v: top(v) for v in values} == {v: find(v) for v in values}
+def test_dense_keys_make_fewer_rows_than_values():
+    """One key over values far wider than four bits: its edges, before any distinct, are fewer than its values; batches may cut it anywhere."""
+    import pyarrow as pa
+
+    draw = random.Random(23)
+    near = [draw.getrandbits(64)]
+    while len(near) < 3000:
+        near.append(draw.choice(near) ^ sum(1 << b for b in draw.sample(range(64), 2)))
+    values = np.array(sorted(set(near)), np.uint64)
+    keys = np.zeros(len(values), np.int64)
+    whole = pa.RecordBatch.from_arrays([pa.array(keys), pa.array(values.view(np.int64))], names=["key", "fp"])
+    out = [x for at in [simhash._forest(simhash.MOST_HELD)] for batch in at(whole.slice(i, 700) for i in range(0, len(values), 700)) for x in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+    assert len(out) == len(values) - 1 and len(set(rooted(values.tolist(), [(a % 2**64, b % 2**64) for a, b in out]).values())) == 1
+    dense = [x for batch in simhash._forest(1000)(whole.slice(i, 700) for i in range(0, len(values), 700)) for x in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+    assert sorted(a for a, _ in dense) == sorted(values.view(np.int64).tolist()) and all(a == b for a, b in dense)
 
 
 def test_near_duplicates(spark, hard):
@@ -150,12 +175,41 @@ def test_near_duplicates(spark, hard):
                     both = [x for x in (low[f], low[g]) if x is not None]
                     low[f] = low[g] = min(both, default=None)
     assert got == sorted((i is None, i or 0, f, low[f]) for i, f in fps)
-    kept = simhash.one_of_each(documents(spark, hard))
-    ids = [r.doc_id for r in kept.collect()]
-    assert len([i for i in ids if i is not None]) == len({i for i in ids if i is not None}) and 8 not in ids and 9 not in ids and ids.count(7) == 1
     assert simhash.near_duplicates(documents(spark, [])).count() == 0 and simhash.one_of_each(documents(spark, [])).count() == 0
 
 
+def slow_one_of_each(rows):
+    """Texts of a component: the row of least doc_id stays, one without doc_id only among its like."""
+    prints = [slow_simhash(t) for _, t in rows]
+    roots = rooted(sorted(set(prints)), [(f, g) for f in set(prints) for g in set(prints) if f < g and (f ^ g).bit_count() <= 4])
+    kept = []
+    for root in set(roots.values()):
+        mine = [(i is None, i or 0, t) for (i, t), f in zip(rows, prints, strict=True) if roots[f] == root]
+        least = min(m[:2] for m in mine)
+        kept.append((least, {t for *at, t in mine if tuple(at) == least}))
+    return kept
+
+
+def test_one_of_each(spark, hard):
+    draw = random.Random(41)
+    text = [prose(draw, 90, 10**5) for _ in range(6)]
+    changed = lambda t: t + " tail"
+    extra = [
+        (103, text[0]), (105, changed(text[0])), (105, text[1]),  # a copy and a text of its own under one doc_id
+        (None, text[2]), (None, changed(text[2])), (None, text[2]),  # copies without any doc_id
+        (None, changed(text[1])), (106, text[3]), (106, text[3]), (106, text[4]), (None, text[5]),
+    ]
+    rows = hard + extra
+    for table in (rows, rows[::-1], extra):
+        kept = simhash.one_of_each(documents(spark, table))
+        assert kept.columns == documents(spark, []).columns
+        got = [((r.doc_id is None, r.doc_id or 0), r.text) for r in kept.collect()]
+        want = slow_one_of_each(table)
+        assert len(got) == len(want) and sorted(g[0] for g in got) == sorted(w[0] for w in want)
+        for least, texts in want:
+            assert any(at == least and t in texts for at, t in got)
+
+
 # --- packing
 
 
@@ -559,11 +613,103 @@ def test_elements_left_open_lose_nothing():
     assert texts("<p>a<textarea>b<p>c") == ["a"]
 
 
-def test_tree_generalises():
-    tree = mainhtml.train()
-    pages = [mainhtml.blocks(p) for p in mainhtml.labelled_pages(6, seed=123)]
-    right = [mainhtml.kept(tree, r) == (b.mark == "1") for p in pages for b, r in zip(p, mainhtml.features(p), strict=True)]
-    assert sum(right) / len(right) > 0.97
+PROSE = "Rain fell over the harbour while the ferries waited for the tide to turn again, and nobody on the quay minded."
+ARTICLE = ["The ferry that waited", PROSE, "Nobody minded.", f"{PROSE} {PROSE}", PROSE]
+BODY = "<h1>{}</h1><p>{}</p><p>{}</p><p>{}</p><p>{}</p>".format(*ARTICLE)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<body class="sidebar menu"><div class="page has-sidebar"><div class="article-body">{BODY}</div><div class="sidebar"><p>{PROSE}</p></div></div></body>',
+        f'<div class="layout menu-open"><article>{BODY}</article></div>',
+        f'<form id="aspnetForm"><input name=x><article>{BODY}</article></form>',
+        f'<form id="aspnetForm"><div><a href=/>Home</a> <a href=/b>News</a></div><div>{BODY}</div></form>',
+        f'<div id="wrap"><div class="nav-wrapper"><p>All that we write about the sea.</p></div><div id="main">{BODY}</div><div class="site-footer"><p>{PROSE}</p></div></div>',
+        f'<article>{BODY}<section class="comment-list"><article class="comment"><div class="content"><p>{PROSE}</p></div></article></section></article>',
+        f'<article>{BODY}</article><div><h3>2 comments</h3><div>Anna</div><p>{PROSE}</p><p>I liked it.</p></div>',
+        f"<div>{BODY}<div><h4>Kommentare</h4><p>{PROSE}</p></div></div>",
+        f'<div class="cookie-consent"><p>{PROSE}</p></div><main>{BODY}<aside><p>{PROSE}</p></aside></main>',
+        f"<p><a href=1>One</a></p><p><a href=2>Two of them</a></p><p>Est. 1901</p>{BODY}<p><a href=3>More</a></p><p>Imprint</p>",
+        f"<div>{BODY.replace('<p>', '<div>').replace('</p>', '</div>')}</div><div><a href=3>More</a></div>",
+        BODY,
+    ],
+)
+def test_pages_unlike_the_labelled_table(page):
+    """Page frames of their own, none of them a layout of the training table: the article is found whole and alone."""
+    assert mainhtml.main_text(mainhtml.train(), page) == "\n".join(ARTICLE)
+
+
+def test_tree_looks_at_neighbours():
+    def used(tree):
+        return {tree[0]} | used(tree[2]) | used(tree[3]) if isinstance(tree, tuple) else set()
+
+    assert {"words", "link density", "words before", "words after"} <= {mainhtml.FEATURES[f] for f in used(mainhtml.train())}
+
+
+@pytest.mark.parametrize("unit", ["a < b <c ", '<a "', '<a x=">" ', "<a ='", "<svg>", "<div><svg>", "<button>", "<option>", "</div>", "<", "<script", "<textarea>", "<!--", "</", "<?", "<p", "&", "<p>some words", "<p>x</div>"])
+def test_scanning_takes_time_by_length(unit):
+    import time
+
+    tree, took = mainhtml.train(), []
+    for size in (100_000, 400_000):
+        began = time.process_time()
+        mainhtml.main_text(tree, unit * (size // len(unit)))
+        mainhtml.main_text(tree, unit * (size // len(unit)) + ">")
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * took[0] + 0.5 and took[1] < 6
+
+
+def slow_blocks(page):
+    """Blocks of a well-formed page by the standard library's parser."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.out, self.parts, self.skip = [], [], 0
+
+        def cut(self):
+            text = " ".join("".join(self.parts).split())
+            self.out += [text] if text else []
+            self.parts = []
+
+        def handle_starttag(self, tag, attrs):
+            self.skip += tag in ("script", "style", "title", "select", "svg")
+            if tag == "br":
+                self.parts.append(" ")
+            elif tag in mainhtml.BLOCK:
+                self.cut()
+
+        def handle_endtag(self, tag):
+            self.skip -= tag in ("script", "style", "title", "select", "svg")
+            if tag in mainhtml.BLOCK:
+                self.cut()
+
+        def handle_data(self, data):
+            if not self.skip:
+                self.parts.append(data)
+
+    reader = Reader()
+    reader.feed(page)
+    reader.close()
+    reader.cut()
+    return reader.out
+
+
+def test_blocks_by_another_parser():
+    draw = random.Random(77)
+
+    def node(depth):
+        kind = draw.random()
+        if depth == 0 or kind < 0.35:
+            return draw.choice(["plain words ", "x &amp; y ", " 1 &lt; 2 ", "caf&eacute; &#233;\n\t z ", "a<br>b ", "<!-- <p>no</p> -->", "<img src='a>b'>", "<script>if (a < b) '</p>'</script>", "<style>p>a{}</style>", "<select><option>no</option></select>", "<svg><text>no</text></svg>"])
+        name = draw.choice(["div", "p", "section", "ul", "li", "b", "i", "span", "a", "h2", "table", "td", "blockquote"])
+        return f"<{name} data-x=\"{draw.randrange(9)}>\">" + "".join(node(depth - 1) for _ in range(draw.randrange(4))) + f"</{name}>"
+
+    for _ in range(200):
+        page = "".join(node(5) for _ in range(5))
+        assert [b.text for b in mainhtml.blocks(page)] == slow_blocks(page)
 
 
 # --- pipeline
