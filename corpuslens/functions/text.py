@@ -87,11 +87,20 @@ def count_words(x: Column | str) -> Column:
     return F.regexp_count(_col(x), F.lit(RAW_WORD))
 
 
+def _sentence_parts(x: Column | str) -> Column:
+    parts = F.split(_col(x), rf"(?<=[.!?;:]){SPACE}+|\n+")
+    return F.transform(parts, lambda s: F.regexp_replace(s, rf"^{SPACE}+|{SPACE}+$", ""))
+
+
 def sentences(x: Column | str, least_words: int = 3) -> Column:
     """Sentences that end in . ! ? ; or : before white space, or at a line's end, of at least so many words."""
-    parts = F.split(_col(x), rf"(?<=[.!?;:]){SPACE}+|\n+")
-    trimmed = F.transform(parts, lambda s: F.regexp_replace(s, rf"^{SPACE}+|{SPACE}+$", ""))
-    return F.filter(trimmed, lambda s: F.size(plain_words(s)) >= least_words)
+    return F.filter(_sentence_parts(x), lambda s: F.size(plain_words(s)) >= least_words)
+
+
+def sentences_with_words(x: Column | str, least_words: int = 3) -> Column:
+    """sentences() as structs of the sentence and its plain_words, which are worked out once."""
+    both = F.transform(_sentence_parts(x), lambda s: F.struct(s.alias("sentence"), plain_words(s).alias("words")))
+    return F.filter(both, lambda s: F.size(s["words"]) >= least_words)
 
 
 def clean_cell(x: Column | str) -> Column:

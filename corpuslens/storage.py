@@ -6,9 +6,12 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Tables of long texts.
 TEXTS = ("documents", "pages", "conversations")
+#: Bytes up to which a table is broadcast.
+MOST_BROADCAST = 64 << 20
 _MADE: dict[str, SparkSession] = {}
 
 
@@ -46,6 +49,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
+def fits(df: DataFrame, most: int | None = None) -> bool:
+    """Whether a table takes few enough bytes to be broadcast: 16 for each value and those of its strings, counted in the cluster."""
+    each = [F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) if t == "string" else F.lit(0) for c, t in df.dtypes]
+    size = df.agg(F.sum(sum(each, F.lit(16 * (len(each) + 1))).cast("long"))).first()[0] or 0
+    return size <= (MOST_BROADCAST if most is None else most)
+
+
 def drop(*dfs: DataFrame) -> None:
     """Remove tables made by stored() that nothing will read again; other DataFrames are left alone."""
     for df in dfs:
