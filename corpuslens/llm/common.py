@@ -48,60 +48,77 @@ def mix(h: np.ndarray) -> np.ndarray:
 AT_START, AT_END = 1, 2
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Compare sorted rows with their neighbours: column 0 is the key, the rest names the occurrence."""
-    held: pa.Table | None = None
-    open_run = 0  # rows of the held row's run that came before it
-    start = AT_START
-
-    def told(rows: pa.Table, follows: np.ndarray, followed: np.ndarray, edge: np.ndarray) -> Iterator[pa.RecordBatch]:
-        keep = follows | followed | (edge > 0)
-        out = rows.append_column("leads", pa.array(~follows)).append_column("matched", pa.array(follows | followed))
-        yield from out.append_column("edge", pa.array(edge)).filter(pa.array(keep)).to_batches()
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = pa.Table.from_batches([batch])
+def _runs(places: int, levels: list[int], always: int | None):
+    """Compare sorted rows with their neighbours. The first `places` columns name and order a row; a level is a number of leading columns.
+
+    Adds leads<n> (the first row of those that agree in the n-th level's columns) and matched<n> (there are others). Rows matched in the first level
+    are kept, those at the ends of the partition, and those whose column `always` is true.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        opened = [False] * len(levels)  # whether the held row follows one that agrees with it
+        start = AT_START
+
+        def told(rows: pa.Table, follows: list[np.ndarray], followed: list[np.ndarray], edge: np.ndarray) -> Iterator[pa.RecordBatch]:
+            keep = follows[0] | followed[0] | (edge > 0)
+            if always is not None:
+                keep |= rows.column(always).to_numpy()
+            for n in range(len(levels)):
+                rows = rows.append_column(f"leads{n}", pa.array(~follows[n])).append_column(f"matched{n}", pa.array(follows[n] | followed[n]))
+            yield from rows.append_column("edge", pa.array(edge)).filter(pa.array(keep)).to_batches()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            if held is not None:
+                rows = pa.concat_tables([held, rows]).combine_chunks()
+            cols = [rows.column(i).to_numpy() for i in range(places)]
+            again = np.zeros(len(rows), bool)
+            again[1:] = np.logical_and.reduce([c[1:] == c[:-1] for c in cols])
+            if again.any():  # a repeated row is one occurrence
+                rows = rows.filter(pa.array(~again)).combine_chunks()
+                cols = [c[~again] for c in cols]
+            follows = []
+            for n, level in enumerate(levels):
+                same = np.zeros(len(rows), bool)
+                same[1:] = np.logical_and.reduce([c[1:] == c[:-1] for c in cols[:level]])
+                same[0] = opened[n]
+                opened[n] = bool(same[-1])
+                follows.append(same)
+            if len(rows) > 1:
+                edge = np.zeros(len(rows) - 1, np.int32)
+                edge[0], start = start, 0
+                yield from told(rows.slice(0, len(rows) - 1), [f[:-1] for f in follows], [f[1:] for f in follows], edge)
+            held = rows.slice(len(rows) - 1)
         if held is not None:
-            rows = pa.concat_tables([held, rows]).combine_chunks()
-        cols = [rows.column(i).to_numpy() for i in range(rows.num_columns)]
-        again = np.zeros(len(rows), bool)
-        again[1:] = np.logical_and.reduce([c[1:] == c[:-1] for c in cols])
-        first = 0
-        if again.any():  # a repeated row is one occurrence
-            again[first] = False
-            rows = rows.filter(pa.array(~again)).combine_chunks()
-            cols = [c[~again] for c in cols]
-        key = cols[0]
-        follows = np.zeros(len(key), bool)
-        follows[1:] = key[1:] == key[:-1]
-        follows[0] = bool(open_run)
-        open_run = int(follows[-1])
-        if len(key) > 1:
-            edge = np.zeros(len(key) - 1, np.int32)
-            edge[0], start = start, 0
-            yield from told(rows.slice(0, len(key) - 1), follows[:-1], follows[1:], edge)
-        held = rows.slice(len(key) - 1)
-    if held is not None:
-        yield from told(held, np.array([bool(open_run)]), np.array([False]), np.array([start | AT_END], np.int32))
-
-
-def repeated(df: DataFrame, key: str, name: str) -> DataFrame:
-    """Rows whose key occurs more than once, by one global sort and a comparison of neighbours.
-
-    df's columns (no nulls) are the key and what names and orders an occurrence. The sort is by range of
-    all columns, so a key held by a third of the rows spreads over many tasks. Equal rows count once. Adds
-    leads: the row is the first of its key. Partitions' end rows, at most two each, settle runs that
-    cross a border.
+            yield from told(held, [np.array([o]) for o in opened], [np.array([False])] * len(levels), np.array([start | AT_END], np.int32))
+
+    return run
+
+
+def neighbours(df: DataFrame, levels: list[list[str]], order: list[str], name: str, always: str | None = None) -> DataFrame:
+    """Rows of df that agree with others in the columns of the first level, by one global sort and a comparison of neighbours.
+
+    The rows are sorted by the columns of the last level (those of the first lead them) and then by order; both together name a row and hold no nulls;
+    equal rows count once. The sort is by range of all these columns, so a key held by a third of the rows spreads over many tasks. Adds, for the
+    n-th level, leads<n>: the row is the first of those that agree with it, and matched<n>: there are others. Rows where the column `always` is true
+    are kept too. Partitions' end rows, at most two each, settle runs that cross a border.
     """
-    spark, cols = df.sparkSession, [key, *(c for c in df.columns if c != key)]
-    kinds = {c: t for c, t in df.dtypes}
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in cols) + ", leads boolean, matched boolean, edge int"
-    ordered = df.select(*cols).repartitionByRange(partitions(spark), *cols).sortWithinPartitions(*cols)
-    found = stored(map_arrow(ordered, _runs, schema), name)
-    place = F.struct(*cols[1:])
-    ends = found.where("edge > 0").groupBy(key).agg(F.count("*").alias("_ends"), F.min(F.when(F.col("edge") >= AT_END, place)).alias("_before")).where("_ends > 1")
-    crossed = found.join(F.broadcast(ends), key, "left")
-    same = F.col("leads") & ~F.coalesce(F.col("_before") < place, F.lit(False))
-    return crossed.where(F.col("matched") | F.col("_ends").isNotNull()).select(*cols, same.alias("leads"))
+    spark, cols = df.sparkSession, [*levels[-1], *order]
+    rest = [c for c in df.columns if c not in cols]
+    kinds = dict(df.dtypes)
+    flags = [f"{f}{n}" for n in range(len(levels)) for f in ("leads", "matched")]
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*cols, *rest]) + "".join(f", {f} boolean" for f in flags) + ", edge int"
+    ordered = df.select(*cols, *rest).repartitionByRange(partitions(spark), *cols).sortWithinPartitions(*cols)
+    fn = _runs(len(cols), [len(x) for x in levels], len(cols) + rest.index(always) if always else None)
+    found = stored(map_arrow(ordered, fn, schema), name)
+    out = found
+    for n, level in enumerate(levels):
+        place = F.struct(*cols[len(level) :])
+        ends = found.where("edge > 0").groupBy(*level).agg(F.count("*").alias("_ends"), F.min(F.when(F.col("edge") >= AT_END, place)).alias("_before")).where("_ends > 1")
+        crossed = out.join(F.broadcast(ends), level, "left")
+        leads = F.col(f"leads{n}") & ~F.coalesce(F.col("_before") < place, F.lit(False))
+        out = crossed.withColumns({f"leads{n}": leads, f"matched{n}": F.col(f"matched{n}") | F.col("_ends").isNotNull()}).drop("_ends", "_before")
+    return out.where(F.col("matched0") | F.col(always) if always else F.col("matched0")).select(*cols, *rest, *flags)

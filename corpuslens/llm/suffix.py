@@ -7,18 +7,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import map_arrow, mix, read, repeated, stored
+from corpuslens.llm.common import drop, map_arrow, mix, neighbours, read, stored
 
 #: A passage is repeated if this many words of it are.
 MIN_WORDS = 50
-#: Words of a suffix that are compared in the first sort.
+#: Words of a suffix that every repeated passage holds from a retained position on.
 KEY_WORDS = 25
+#: The order key of rows without doc_id: they come after all others.
+LAST = (1 << 63) - 1
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so that it has an inverse modulo 2**64
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+#: Multipliers of two independent hashes of word sequences; odd, so that they have an inverse modulo 2**64.
+BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
 def word_hashes(text: str | None) -> tuple[list[bytes], np.ndarray]:
@@ -27,16 +29,22 @@ def word_hashes(text: str | None) -> tuple[list[bytes], np.ndarray]:
     return words, np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
-    """Hash of the n words from each position."""
-    if len(h) < n:
-        return np.zeros(0, np.uint64)
-    power = np.full(len(h), _BASE)
-    power[0] = 1
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * np.cumprod(power), dtype=np.uint64)])
-    power[:] = _INVERSE
-    power[0] = 1
-    return mix((sums[n:] - sums[:-n]) * np.cumprod(power)[: len(h) - n + 1])
+class Sequences:
+    """Hashes of any stretch of a text's words, from sums of powers."""
+
+    def __init__(self, h: np.ndarray, base: int = BASES[0]):
+        power, inverse = np.full(len(h) + 1, base, np.uint64), np.full(len(h) + 1, pow(base, -1, 1 << 64), np.uint64)
+        power[0] = inverse[0] = 1
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * np.cumprod(power)[:-1], dtype=np.uint64)])
+        self.inverse = np.cumprod(inverse)
+
+    def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        return mix((self.sums[stop] - self.sums[start]) * self.inverse[start] + (stop - start).astype(np.uint64))
+
+    def grams(self, n: int) -> np.ndarray:
+        """Hash of the n words from each position."""
+        at = np.arange(max(0, len(self.sums) - n))
+        return self.of(at, at + n)
 
 
 def anchors(keys: np.ndarray, window: int) -> np.ndarray:
@@ -49,41 +57,23 @@ def anchors(keys: np.ndarray, window: int) -> np.ndarray:
 
 
 def _suffixes(min_words: int, key_words: int):
+    """The retained suffixes of each text: their first words, those that follow and those before, as far as a passage that holds the suffix may reach."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, docs, places = [], [], []
-            for doc, text in zip(batch.column(0).to_numpy(), batch.column(1).to_pylist(), strict=True):
+            made: list[list[np.ndarray]] = [[], [], [], [], [], []]
+            for ident, tie, text in zip(batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist(), strict=True):
                 _, h = word_hashes(text)
                 if len(h) >= min_words:
-                    grams = gram_hashes(h, key_words)
+                    seq = Sequences(h)
+                    grams = seq.grams(key_words)
                     at = np.unique(anchors(grams, min_words - key_words + 1))
-                    keys.append(grams[at])
-                    docs.append(np.full(len(at), doc))
-                    places.append(at)
-            if keys:
-                cols = [np.concatenate(keys).view(np.int64), np.concatenate(docs), np.concatenate(places).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "row_id", "at"])
-
-    return run
-
-
-def _extended(min_words: int, key_words: int):
-    """Each passage of min_words words whose retained suffix is repeated, with its place in characters."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list[np.ndarray]] = [[], [], [], [], []]
-            for doc, text, wanted in zip(batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                words, h = word_hashes(text)
-                if len(h) < min_words:
-                    continue
-                at = anchors(gram_hashes(h, key_words), min_words - key_words + 1)
-                starts = np.flatnonzero(np.isin(at, np.array(wanted)))
-                first, last = places(text, words)
-                for x, y in zip(out, (gram_hashes(h, min_words)[starts].view(np.int64), np.full(len(starts), doc), starts.astype(np.int32), first[starts].astype(np.int32), last[starts + min_words - 1].astype(np.int32)), strict=True):
-                    x.append(y)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["passage", "row_id", "word", "start", "stop"])
+                    follow = seq.of(np.minimum(at + key_words, len(h)), np.minimum(at + min_words, len(h)))
+                    before = seq.of(np.maximum(at - (min_words - key_words), 0), at)
+                    for x, y in zip(made, (grams[at].view(np.int64), follow.view(np.int64), before.view(np.int64), np.full(len(at), ident), np.full(len(at), tie), at.astype(np.int32)), strict=True):
+                        x.append(y)
+            if made[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in made], names=["first", "follow", "before", "row_id", "tie", "at"])
 
     return run
 
@@ -97,77 +87,139 @@ def places(text: str, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return points[np.flatnonzero(step == 1)], points[np.flatnonzero(step == -1)]
 
 
-def _merged(min_words: int):
+EXTENDED = "passage long, check long, row_id long, tie long, word int, stop_word int, start int, stop int, followed boolean"
+
+
+def _extended(min_words: int, key_words: int):
+    """Each retained suffix that is shared, extended left and right to the passages of min_words words that hold it.
+
+    Where another row with the same words all around comes first, its passages are copies: they come out as runs (passage null). Else
+    each passage comes out by its two hashes, to be compared with those of other suffixes that start alike.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
-            for doc, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for copy in (False, True):
-                    mine = sorted((x["word"], x["start"], x["stop"]) for x in found if x["leads"] != copy)
-                    span: list[int] | None = None
-                    for word, start, stop in mine:
-                        if span and word <= span[1]:
-                            span[1], span[3] = word + min_words, stop
-                        else:
-                            if span:
-                                rows.append((doc, copy, *span))
-                            span = [word, word + min_words, start, stop]
-                    if span:
-                        rows.append((doc, copy, *span))
-            if rows:
-                cols = list(zip(*rows, strict=True))
-                kinds = [pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["row_id", "is_copy", "word", "stop_word", "start", "stop"])
+            made: list[list[np.ndarray]] = [[] for _ in range(9)]
+            whole: list[np.ndarray] = []
+            for ident, tie, text, shared in zip(batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                words, h = word_hashes(text)
+                if len(h) < min_words:
+                    continue
+                seq = Sequences(h)
+                code = np.zeros(len(h), np.int8)  # 1 a copy, 2 the first of its surroundings, 3 one that others follow
+                for x in shared:
+                    code[x["at"]] = 1 if not x["leads"] else 3 if x["matched"] else 2
+                of_window = code[anchors(seq.grams(key_words), min_words - key_words + 1)]
+                first, last = places(text, words)
+                copies = np.flatnonzero(np.diff(np.concatenate([[0], (of_window == 1).view(np.int8), [0]])))
+                starts, stops = copies[::2], copies[1::2] + min_words - 1
+                own = np.flatnonzero(of_window > 1)
+                word, stop = np.concatenate([starts, own]), np.concatenate([stops, own + min_words])
+                n, none = len(word), np.zeros(len(starts), np.uint64)
+                cols = (
+                    np.concatenate([none, seq.of(own, own + min_words)]).view(np.int64), np.concatenate([none, Sequences(h, BASES[1]).of(own, own + min_words)]).view(np.int64), np.full(n, ident), np.full(n, tie),
+                    word.astype(np.int32), stop.astype(np.int32), first[word].astype(np.int32), last[stop - 1].astype(np.int32), np.concatenate([np.ones(len(starts), bool), of_window[own] == 3]),
+                )
+                for x, y in zip(made, cols, strict=True):
+                    x.append(y)
+                whole.append(np.arange(n) < len(starts))
+            if whole:
+                is_run = np.concatenate(whole)
+                cols = [np.concatenate(x) for x in made]
+                yield pa.RecordBatch.from_arrays([pa.array(c, mask=is_run) if k < 2 else pa.array(c) for k, c in enumerate(cols)], names=[x.split()[0] for x in EXTENDED.split(", ")])
 
     return run
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """row_id orders rows as doc_id does and tells texts of one doc_id apart only if needed: it is doc_id, or the least long for null."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("row_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Overlapping passages of a row to spans, copies and others apart."""
+    for batch in batches:
+        rows: list[tuple] = []
+        for ident, tie, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for copy in (False, True):
+                mine = sorted((x["word"], x["stop_word"], x["start"], x["stop"]) for x in found if x["is_copy"] == copy)
+                span: list[int] | None = None
+                for word, stop_word, start, stop in mine:
+                    if span and word <= span[1]:
+                        span[1], span[3] = max(span[1], stop_word), max(span[3], stop)
+                    else:
+                        if span:
+                            rows.append((ident, tie, copy, *span))
+                        span = [word, stop_word, start, stop]
+                if span:
+                    rows.append((ident, tie, copy, *span))
+        if rows:
+            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["row_id", "tie", "is_copy", "word", "stop_word", "start", "stop"])
+
+
+def _keys(docs: DataFrame) -> tuple[Column, Column]:
+    """What names and orders a row: doc_id (rows without one last), then a hash of its text."""
+    return F.coalesce(docs.doc_id.cast("long"), F.lit(LAST)), F.xxhash64(docs.text.cast("string"))
+
+
+def spans(docs: DataFrame, min_words: int = MIN_WORDS, key_words: int = KEY_WORDS) -> DataFrame:
+    """repeats() by row: (row_id, tie, is_copy, word, stop_word, start, stop), where row_id is doc_id or LAST, and tie a hash of the text."""
+    ident, tie = _keys(docs)
+    keyed = docs.select(ident.alias("row_id"), tie.alias("tie"), F.coalesce(docs.text.cast("string"), F.lit("")).alias("text"))
+    suffixes = map_arrow(keyed, _suffixes(min_words, key_words), "first long, follow long, before long, row_id long, tie long, at int")
+    sorted_suffixes = neighbours(suffixes, [["first"], ["first", "follow", "before"]], ["row_id", "tie", "at"], "suffixes")
+    shared = sorted_suffixes.groupBy("row_id", "tie").agg(F.collect_list(F.struct("at", F.col("leads1").alias("leads"), F.col("matched1").alias("matched"))).alias("shared"))
+    # What is shared grows with the corpus: it is shuffled at every size, not broadcast while it happens to be little.
+    wanted = keyed.join(shared.hint("merge"), ["row_id", "tie"]).select("row_id", "tie", "text", "shared")
+    extended = stored(map_arrow(wanted, _extended(min_words, key_words), EXTENDED), "extended")
+    passages = neighbours(extended.where("passage is not null"), [["passage", "check"]], ["row_id", "tie", "word"], "passages", always="followed")
+    copies = extended.where("passage is null").withColumn("is_copy", F.lit(True))
+    cols = ["row_id", "tie", F.struct("word", "stop_word", "start", "stop", "is_copy").alias("found")]
+    found = passages.withColumn("is_copy", ~F.col("leads0")).select(*cols).unionByName(copies.select(*cols))
+    by_row = found.groupBy("row_id", "tie").agg(F.collect_set("found").alias("found"))
+    return map_arrow(by_row, _merged, "row_id long, tie long, is_copy boolean, word int, stop_word int, start int, stop int")
 
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS, key_words: int = KEY_WORDS) -> DataFrame:
     """(doc_id, is_copy, word, n_words, start, stop) for each longest run of words of docs that occurs elsewhere too.
 
     Suffixes are retained where a minimiser of the text lies, so that each passage of min_words words has one at a
-    place that its words alone decide. They are sorted and neighbours of equal first words found; those are extended
-    left and right to all passages of min_words words that hold them, which are sorted and compared in turn:
-    thus no partner is missed, whichever neighbours a suffix had, and no pairs are made. Overlapping passages
-    merge into spans: of passages that occur first here by (doc_id, place) (is_copy false) and of later copies (true).
-    start and stop count characters of the text, word and n_words words parted by ASCII white space.
-
-    Texts of fewer words, empty and null ones have no spans. Rows with one doc_id and text count as one document; documents
-    need distinct doc_id otherwise (rows without one share one). An empty table gives no rows; other columns are ignored.
+    place that its words alone decide. They are sorted by their first key_words words, then by those that follow, then by those before, each taken as one letter
+    in the order of its hash, and compared with their neighbours. A suffix whose neighbour agrees with it in all of these extends to the left and to
+    the right as far as a passage can: all its passages are copies of the first such row's. Only the first one of each surroundings, and only if
+    its first words are shared, is extended word by word to the passages that hold it; those are sorted and compared in turn by 128 bits of hash,
+    as the best partner to the left and the best one to the right may be others than the neighbours. Thus no partner is missed and no pairs are made.
+
+    Overlapping passages merge into spans: of passages that occur first here by (doc_id, hash of the text, place) (is_copy false) and of later
+    copies (true). start and stop count characters of the text, word and n_words words parted by ASCII white space.
+
+    Texts of fewer words, empty and null ones have no spans. Rows that share a doc_id and differ in text, and rows without doc_id, are documents of their own; the
+    latter come last, so that a copy in one gives way to the one with a doc_id. Rows equal in doc_id and text count as one. doc_id 2**63 - 1 counts as null.
+    An empty table gives no rows; other columns are ignored.
     """
-    keyed = _keyed(docs)
-    suffixes = map_arrow(keyed, _suffixes(min_words, key_words), "key long, row_id long, at int")
-    shared = repeated(suffixes, "key", "suffixes").groupBy("row_id").agg(F.collect_set("at").alias("at"))
-    # What is shared grows with the corpus: it is shuffled at every size, not broadcast while it happens to be little.
-    extended = keyed.join(shared.hint("merge"), "row_id").select("row_id", "text", "at")
-    passages = map_arrow(extended, _extended(min_words, key_words), "passage long, row_id long, word int, start int, stop int")
-    copied = repeated(passages, "passage", "passages")
-    by_doc = copied.groupBy("row_id").agg(F.collect_list(F.struct("word", "start", "stop", "leads")).alias("found"))
-    spans = map_arrow(by_doc, _merged(min_words), "row_id long, is_copy boolean, word int, stop_word int, start int, stop int")
-    doc_id = F.when(F.col("row_id") != -(1 << 63), F.col("row_id")).alias("doc_id")
-    return spans.select(doc_id, "is_copy", "word", (F.col("stop_word") - F.col("word")).alias("n_words"), "start", "stop")
+    doc_id = F.when(F.col("row_id") != LAST, F.col("row_id")).alias("doc_id")
+    return spans(docs, min_words, key_words).select(doc_id, "is_copy", "word", (F.col("stop_word") - F.col("word")).alias("n_words"), "start", "stop")
 
 
 def without_copies(docs: DataFrame, min_words: int = MIN_WORDS, key_words: int = KEY_WORDS) -> DataFrame:
-    """docs with later copies of repeated passages cut out of their text and n_chars set anew; rows left without text go."""
-    spans = stored(repeats(docs, min_words, key_words).where("is_copy and doc_id is not null").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("_cut")), "copies").withColumnRenamed("doc_id", "_id")
-    joined = docs.join(spans.hint("merge"), docs.doc_id == F.col("_id"), "left")
+    """docs with later copies of repeated passages cut out of their text and n_chars set anew; rows left without words go, all other rows stay.
+
+    Each row is cut by its own spans, whether its doc_id is null, shared or its own; what occurs first stays whole. Of rows equal in doc_id and text all stay, cut
+    alike. Null, empty and short texts stay as they are, an empty table gives no rows. Columns may have any name that doesn't start with '_suffix'.
+    """
+    ident, tie = _keys(docs)
+    cuts = spans(docs, min_words, key_words).where("is_copy").groupBy("row_id", "tie").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("_suffix_cut"))
+    cuts = stored(cuts, "copies").withColumnsRenamed({"row_id": "_suffix_id", "tie": "_suffix_tie"})
+    told = docs.select("*", ident.alias("_suffix_id"), tie.alias("_suffix_tie"))
+    joined = told.join(cuts.hint("merge"), ["_suffix_id", "_suffix_tie"], "left")
     left = F.aggregate(
-        "_cut",
+        "_suffix_cut",
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda acc, x: F.struct(x["stop"].alias("at"), F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, x["start"] - acc["at"])).alias("out")),
         lambda acc: F.trim(F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text")))),
     )
-    cut = joined.withColumn("text", F.when(F.col("_cut").isNull(), F.col("text")).otherwise(left))
-    kept = cut.where(F.col("_cut").isNull() | F.col("text").rlike(r"\S"))
+    uncut = F.col("_suffix_cut").isNull()
+    cut = joined.withColumn("text", F.when(uncut, F.col("text")).otherwise(left))
+    kept = cut.where(uncut | F.col("text").rlike(r"\S"))
     if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.when(F.col("_cut").isNull(), F.col("n_chars")).otherwise(F.length("text")))
-    return kept.select(*docs.columns)
+        kept = kept.withColumn("n_chars", F.when(uncut, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
