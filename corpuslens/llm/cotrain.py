@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,19 +25,23 @@ SURE = 0.9
 BINS = 1024
 #: Labelled rows whose crc32 of doc_id modulo this is 0 calibrate the views and aren't learnt from.
 FOLDS = 4
-SOURCES, LANGUAGES = 32, 8
-
-TEXT = ("marks per character", "marks per word", "upper case", "digits", "word length", "long words", "short words", "different words", "repeated lines", "ends as a sentence", "bars", "log words")
-META = ("log characters", "log lines", "characters a line", "longest line", *(f"source {i}" for i in range(SOURCES)), *(f"language {i}" for i in range(LANGUAGES)))
-#: Columns before those of sources and languages.
-PLAIN = len(TEXT) + len(META) - SOURCES - LANGUAGES
+SOURCES, LANGUAGES, WORDS = 32, 8, 128
+#: A word's share is kept in steps of 1 / STEPS of the logarithm, as a byte.
+STEPS = 32
+
+STYLE = ("marks per character", "marks per word", "upper case", "digits", "word length", "long words", "short words", "different words", "repeated lines", "ends as a sentence", "bars")
+#: The view of a text: how it is written, and which words and runs of marks it holds, by hash.
+TEXT = (*STYLE, *(f"words {i}" for i in range(WORDS)))
+#: The view of the metadata: nothing of it is read from the text.
+META = ("log characters", "characters unknown", *(f"source {i}" for i in range(SOURCES)), *(f"language {i}" for i in range(LANGUAGES)))
 _UPPER, _DIGIT = np.zeros(256, bool), np.zeros(256, bool)
 _UPPER[65:91] = _DIGIT[48:58] = True
 _MARK = np.array([32 < b < 127 and not chr(b).isalnum() and chr(b) not in ".,;:'\"!?()-" for b in range(256)])
+_TOKEN = re.compile(r"\w+|[^\w\s]+")
 
 
-def measures(text: str | None, source: str | None, lang: str | None, n_chars: int | None) -> list[float]:
-    """The text's features (TEXT), then the metadata's (META) with source and language by number. Null and empty texts have zeros, null metadata counts as ''."""
+def style(text: str | None) -> list[float]:
+    """STYLE of a text; zeros of a null or empty one."""
     raw = (text or "").encode("utf-8", "surrogatepass")
     counts = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
     total, words = max(1, len(raw)), raw.split()
@@ -42,34 +49,53 @@ def measures(text: str | None, source: str | None, lang: str | None, n_chars: in
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     lines = [x for x in raw.split(b"\n") if x.strip()]
     marks = float(counts[_MARK].sum())
-    content = [
+    return [
         marks / total,
         marks / n,
-        counts[_UPPER].sum() / total,
-        counts[_DIGIT].sum() / total,
+        float(counts[_UPPER].sum() / total),
+        float(counts[_DIGIT].sum() / total),
         float(lengths.mean()) / 10 if len(words) else 0.0,
         float((lengths > 12).mean()) if len(words) else 0.0,
         float((lengths <= 3).mean()) if len(words) else 0.0,
         len(set(words)) / n,
-        1 - len(set(lines)) / max(1, len(lines)),
+        1 - len(set(lines)) / len(lines) if lines else 0.0,
         sum(x.rstrip()[-1:] in (b".", b"!", b"?") for x in lines) / max(1, len(lines)),
-        counts[124] / n,
-        np.log1p(len(words)) / 10,
+        float(counts[124] / n),
     ]
-    chars = n_chars if n_chars is not None and n_chars >= 0 else len(text or "")
-    meta = [np.log1p(chars) / 10, np.log1p(len(lines)) / 10, np.log1p(chars / max(1, len(lines))) / 10, np.log1p(max(map(len, lines), default=0)) / 10]
-    return [float(c) for c in (*content, *meta, zlib.crc32((source or "").encode()) % SOURCES, zlib.crc32((lang or "").encode()) % LANGUAGES)]
+
+
+def words(text: str | None) -> bytes:
+    """Shares of a text's words and runs of marks by hash: for each of WORDS numbers the logarithm of one and its parts per thousand, in steps, as a byte."""
+    found = _TOKEN.findall((text or "").lower())
+    at = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found)) % np.uint64(WORDS)
+    share = np.bincount(at.astype(np.int64), minlength=WORDS) * (1000 / max(1, len(found)))
+    return np.rint(np.log1p(share) * STEPS).astype(np.uint8).tobytes()
+
+
+def metadata(source: str | None, lang: str | None, n_chars: int | None) -> list[float]:
+    """META as four numbers, source and language by number; null metadata counts as ''."""
+    known = n_chars is not None and n_chars >= 0
+    return [float(np.log1p(n_chars)) / 10 if known else 0.0, float(not known), float(zlib.crc32((source or "").encode()) % SOURCES), float(zlib.crc32((lang or "").encode()) % LANGUAGES)]
 
 
 def views(x: np.ndarray) -> np.ndarray:
-    """Rows of measures with a column of their own for each source and language: TEXT, then META."""
-    out = np.zeros((len(x), len(TEXT) + len(META)))
-    out[:, :PLAIN] = x[:, :PLAIN]
-    out[np.arange(len(x)), PLAIN + x[:, PLAIN].astype(int)] = 1
-    out[np.arange(len(x)), PLAIN + SOURCES + x[:, PLAIN + 1].astype(int)] = 1
+    """Rows of measures (STYLE, metadata's four numbers, words) as TEXT, then META with a column of their own for each source and language."""
+    k, t = len(STYLE), len(TEXT)
+    out = np.zeros((len(x), t + len(META)))
+    out[:, :k], out[:, k:t] = x[:, :k], x[:, k + 4 :]
+    out[:, t : t + 2] = x[:, k : k + 2]
+    out[np.arange(len(x)), t + 2 + x[:, k + 2].astype(int)] = 1
+    out[np.arange(len(x)), t + 2 + SOURCES + x[:, k + 3].astype(int)] = 1
     return out
 
 
+def matrix(x: pa.Array, held: pa.Array) -> np.ndarray:
+    """Rows of measures from the columns x and words."""
+    plain = x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), len(STYLE) + 4)
+    shares = np.frombuffer(b"".join(held.to_pylist()), np.uint8).reshape(len(x), WORDS)
+    return np.hstack([plain, shares / (STEPS * 10)])
+
+
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1.0, steps: int = 25) -> np.ndarray:
     """Weights (the intercept last) by Newton's method with a ridge penalty."""
     x = np.hstack([x, np.ones((len(x), 1))])
@@ -151,19 +177,34 @@ def _newton(x: np.ndarray, y: np.ndarray, weight: float, w: np.ndarray) -> np.nd
 
 
 def _summed(rows: DataFrame, made: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray | None:
-    """The sum of made(x, draw, y) over all rows, one array a task; None of no rows."""
+    """The sum of made(x, draw, y) over all rows; None of no rows. Each task sums its rows, then about the square root of as many tasks sum those sums, so
+    that the driver gets few arrays however many tasks there are."""
+
+    def told(total: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["total"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
             if batch.num_rows:
-                x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-                part = made(x, batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False))
+                part = made(matrix(batch.column(0), batch.column(1)), batch.column(2).to_numpy(zero_copy_only=False), batch.column(3).to_numpy(zero_copy_only=False))
                 total = part if total is None else total + part
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["total"])
+        yield from told(total)
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for one in batch.column(0):
+                part = one.values.to_numpy()
+                total = part if total is None else total + part
+        yield from told(total)
 
-    found = map_arrow(rows.select("x", "draw", "y"), run, "total array<double>").toArrow()["total"].to_pylist()
+    sums = map_arrow(rows.select("x", "words", "draw", "y"), run, "total array<double>")
+    tasks = rows.rdd.getNumPartitions()
+    if tasks > 64:
+        sums = map_arrow(sums.repartition(math.isqrt(tasks)), again, "total array<double>")
+    found = sums.toArrow()["total"].to_pylist()
     return np.array(found).sum(0) if found else None
 
 
@@ -203,7 +244,7 @@ def _fitted(rows: DataFrame, model: dict, known: list[tuple[np.ndarray, np.ndarr
 
 
 def train(rows: DataFrame, x: np.ndarray, y: np.ndarray, fold: np.ndarray, rounds: int = ROUNDS) -> dict:
-    """The model of rows (x, draw, y; y is -1 without a label) and of the labelled sample x, y, of which fold 0 calibrates.
+    """The model of rows (x, words, draw, y; y is -1 without a label) and of the labelled sample x, y, of which fold 0 calibrates.
 
     Mean and scale are those of all rows. In each round every row without a label is scored where it lies, the surest are found by
     counts and the views fitted by sums; what comes to the driver is some thousand numbers a task.
@@ -246,29 +287,31 @@ def _columns(docs: DataFrame) -> list:
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        made = [measures(*row) for row in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)]
-        draw = [zlib.crc32(repr((doc, x)).encode()) / 2**32 for doc, x in zip(batch.column(0).to_pylist(), made, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.float64())), pa.array(draw, pa.float64())], names=["doc_id", "x", "draw"])
+        doc, text, source, lang, n_chars = (c.to_pylist() for c in batch.columns)
+        made = [style(t) + metadata(s, g, n) for t, s, g, n in zip(text, source, lang, n_chars, strict=True)]
+        held = [words(t) for t in text]
+        draw = [zlib.crc32(repr((d, x)).encode() + w) / 2**32 for d, x, w in zip(doc, made, held, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.float64())), pa.array(held, pa.binary()), pa.array(draw, pa.float64())], names=["doc_id", "x", "words", "draw"])
 
 
 def measured(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, x, draw, y) for each row of docs, stored: its measures, a number of [0, 1) by which ties are parted, and its label: -1 for none, -2 for one beyond the sample."""
+    """(doc_id, x, words, draw, y) for each row of docs, stored: its measures, a number of [0, 1) by which ties are parted, and its label: -1 for none, -2 for one beyond the sample."""
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min((F.col("quality") == 1).cast("int")).alias("quality"))
     sample = known.orderBy(F.xxhash64("_id"), "_id").limit(MOST_LABELLED).select("_id", F.lit(True).alias("_in"))
     marks = known.join(F.broadcast(sample), "_id", "left").select("_id", F.when(F.col("_in"), F.col("quality")).otherwise(-2).alias("y"))
-    rows = map_arrow(docs.select(*_columns(docs)), _measured, "doc_id long, x array<double>, draw double")
+    rows = map_arrow(docs.select(*_columns(docs)), _measured, "doc_id long, x array<double>, words binary, draw double")
     # Rows without doc_id have no label; a hash spreads them over the tasks.
     same = (F.coalesce("doc_id", F.xxhash64("draw")) == F.col("_id")) & F.col("doc_id").isNotNull()
-    return stored(rows.join(marks.hint("merge"), same, "left").select("doc_id", "x", "draw", F.coalesce("y", F.lit(-1)).alias("y")), "measures")
+    return stored(rows.join(marks.hint("merge"), same, "left").select("doc_id", "x", "words", "draw", F.coalesce("y", F.lit(-1)).alias("y")), "measures")
 
 
 def fit(rows: DataFrame) -> dict | None:
     """The model learnt from measured rows: those of the labelled sample and all without a label; None without two classes of labels."""
-    found = rows.where("y >= 0").select("doc_id", "y", "x").toArrow()
+    found = rows.where("y >= 0").select("doc_id", "y", "x", "words").toArrow().combine_chunks()
     ids, y = found["doc_id"].to_pylist(), found["y"].to_numpy()
     if not {0, 1} <= set(y.tolist()):
         return None
-    x = np.array(found["x"].to_pylist())
+    x = matrix(found["x"].combine_chunks(), found["words"].combine_chunks())
     at = sorted(range(len(ids)), key=lambda i: (ids[i], x[i].tolist()))
     fold = np.array([zlib.crc32(str(ids[i]).encode()) % FOLDS for i in at])
     return train(rows, x[at], y[at], fold)
@@ -279,7 +322,8 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     docs needs doc_id and text and may have source, lang and n_chars; other columns are ignored. Nulls and empty texts are scored. Of a
     doc_id's labels the least counts. Without labels of both classes all scores are 0.5. An empty table gives no rows; repeated rows are scored each.
-    Texts are read once: their measures (18 numbers) are stored.
+    The text's view holds how a text is written and its words by hash, the other view source, lang and n_chars as the table has them. Texts are read once:
+    their measures (15 numbers and 128 bytes) are stored.
     """
     rows = measured(docs, labels)
     sent = docs.sparkSession.sparkContext.broadcast(fit(rows))
@@ -288,10 +332,10 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
         model = sent.value
         for batch in batches:
             n = batch.num_rows
-            s = score(model, batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(n, -1)) if model and n else np.full((n, 3), 0.5)
+            s = score(model, matrix(batch.column(1), batch.column(2))) if model and n else np.full((n, 3), 0.5)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(s[:, k]) for k in range(3))], names=["doc_id", "text_score", "meta_score", "score"])
 
-    found = map_arrow(rows.select("doc_id", "x"), run, "doc_id long, text_score double, meta_score double, score double")
+    found = map_arrow(rows.select("doc_id", "x", "words"), run, "doc_id long, text_score double, meta_score double, score double")
     return found.withColumn("keep", F.col("score") >= 0.5)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpuslens.llm import components as C
 from corpuslens.llm import cotrain, decontaminate, fingerprint, licence, mainhtml, packing, simhash, suffix, toxicity, urlfilter
-from corpuslens.llm.common import repeated
+from corpuslens.llm.common import neighbours
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, fp string, item_id string"
 
@@ -55,17 +55,24 @@ def test_components(spark):
     assert C.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_repeated_across_partitions(spark):
+def test_neighbours_across_partitions(spark):
     draw = random.Random(4)
-    rows = [(draw.choice([5, 5, 5, draw.randrange(60)]), d, draw.randrange(9)) for d in range(400)]
+    rows = [(draw.choice([5, 5, 5, draw.randrange(60)]), draw.randrange(3), d, draw.randrange(9)) for d in range(400)]
     rows += rows[:20]
-    got = {(r.key, r.d, r.p): r.leads for r in repeated(spark.createDataFrame(rows, "key long, d long, p int"), "key", "t").collect()}
+    table = spark.createDataFrame([(*r, r[2] % 7 == 0) for r in rows], "key long, more long, d long, p int, flag boolean")
     once = sorted(set(rows))
-    count = {}
-    for r in once:
-        count.setdefault(r[0], []).append(r)
-    want = {r: r == rs[0] for k, rs in count.items() if len(rs) > 1 for r in rs}
-    assert got == want
+
+    def want(n):
+        count = {}
+        for r in once:
+            count.setdefault(r[:n], []).append(r)
+        return {r: (r == rs[0], len(rs) > 1) for rs in count.values() for r in rs}
+
+    one, two = want(1), want(2)
+    got = {(r.key, r.more, r.d, r.p): ((r.leads0, r.matched0), (r.leads1, r.matched1)) for r in neighbours(table, [["key"], ["key", "more"]], ["d", "p"], "t").collect()}
+    assert got == {r: (one[r], two[r]) for r in once if one[r][1]}
+    got = {(r.key, r.more, r.d, r.p): (r.leads0, r.matched0) for r in neighbours(table, [["key", "more"]], ["d", "p"], "t", always="flag").collect()}
+    assert got == {r: two[r] for r in once if two[r][1] or r[2] % 7 == 0}
 
 
 # --- SimHash
@@ -259,47 +266,79 @@ def test_assign_balances_cost():
 
 
 def covered(rows, n):
-    """Words of each document in passages of n words that occur more than once, and in those that aren't the first."""
+    """Words of each row in passages of n words that occur more than once, and in those that aren't the first."""
     seen, out = {}, {}
-    for i, t in sorted({(i if i is not None else -(1 << 63), t or "") for i, t in rows}):
+    for i, h, t in sorted({(i if i is not None else suffix.LAST, xx(t), t or "") for i, t in rows}):
         w = t.split()
         for k in range(len(w) - n + 1):
-            seen.setdefault(tuple(w[k : k + n]), []).append((i, k))
+            seen.setdefault(tuple(w[k : k + n]), []).append((i, h, k))
     for places in seen.values():
-        for place, (i, k) in enumerate(places if len(places) > 1 else ()):
-            out.setdefault((i, place > 0), set()).update(range(k, k + n))
+        for place, (i, h, k) in enumerate(places if len(places) > 1 else ()):
+            out.setdefault((i, h, place > 0), set()).update(range(k, k + n))
     return out
 
 
+def xx(text):
+    """Spark's xxhash64 of a text (its seed is the result for null)."""
+    h = 42 if text is None else xxhash.xxh64_intdigest(text.encode(), seed=42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def overlapping(draw):
+    """Texts that share passages whose best partners to the left and to the right differ, with ids that are null or shared."""
+    a, b, c = (prose(draw, 45, 10**5) for _ in range(3))
+    core = prose(draw, 30, 10**5)
+    own = lambda: prose(draw, 40, 10**5)
+    rows = [(201, f"{own()} {a} {core} {own()}"), (202, f"{own()} {a} {core} {b}"), (203, f"{own()} {core} {b}"), (204, f"{c} {core} {b} {own()}"), (205, f"{c} {core} {own()}")]
+    passage = prose(draw, 70, 10**5)
+    rows += [(206, passage), (206, own() + " " + own()), (206, own() + " " + passage), (None, own() + " " + passage), (None, own() + " " + own()), (None, passage), (207, passage), (207, passage), (None, passage)]
+    return rows
+
+
 def test_repeats(spark, hard):
-    got = {}
-    texts = {}
-    for i, t in hard:
-        texts.setdefault(i, t)
-    for r in suffix.repeats(documents(spark, hard)).collect():
-        got.setdefault((r.doc_id if r.doc_id is not None else -(1 << 63), r.is_copy), set()).update(range(r.word, r.word + r.n_words))
-        cut = texts[r.doc_id][r.start : r.stop].split()
-        assert cut == texts[r.doc_id].split()[r.word : r.word + r.n_words]
-    assert got == covered(hard, 50)
-    assert (12, True) in got and (11, False) in got and (14, True) in got
+    for rows in (hard, overlapping(random.Random(51)), hard + overlapping(random.Random(52))):
+        got = {}
+        texts = {(i if i is not None else suffix.LAST, xx(t)): t for i, t in rows}
+        for r in suffix.spans(documents(spark, rows)).collect():
+            got.setdefault((r.row_id, r.tie, r.is_copy), set()).update(range(r.word, r.stop_word))
+            text = texts[r.row_id, r.tie]
+            assert text[r.start : r.stop].split() == text.split()[r.word : r.stop_word]
+        assert got == covered(rows, 50)
+    assert any(not c for _, _, c in got) and any(c for _, _, c in got)
+    out = suffix.repeats(documents(spark, hard))
+    assert out.columns == ["doc_id", "is_copy", "word", "n_words", "start", "stop"] and {(r.doc_id, r.is_copy) for r in out.collect()} >= {(12, True), (11, False), (14, True)}
     assert suffix.repeats(documents(spark, [])).count() == 0
 
 
+def slow_cut(rows):
+    """Texts without the words of copies, as words."""
+    copies = covered(rows, 50)
+    out = []
+    for i, t in rows:
+        gone = copies.get((i if i is not None else suffix.LAST, xx(t), True), set())
+        left = None if t is None else [w for k, w in enumerate(t.split()) if k not in gone]
+        if not gone or left:
+            out.append((i is None, i or 0, left))
+    return sorted(out, key=repr)
+
+
 def test_without_copies(spark, hard):
-    rows = [r for r in hard if r[0] not in (None, 7)] + [(7, dict(hard)[7])]
-    kept = {r.doc_id: r for r in suffix.without_copies(documents(spark, rows)).collect()}
-    passage = dict(hard)[12]
-    assert passage in kept[11].text and 12 not in kept and passage not in kept[13].text and 9 not in kept
-    assert kept[13].n_chars == len(kept[13].text) and kept[4].text == "one two" and 1 in kept and 2 in kept
-    untouched = {i: t for i, t in rows if (i, True) not in covered(rows, 50)}
-    assert all(kept[i].text == t for i, t in untouched.items())
+    for rows in (hard, overlapping(random.Random(53))):
+        kept = suffix.without_copies(documents(spark, rows))
+        assert kept.schema == documents(spark, []).schema
+        got = kept.collect()
+        assert sorted(((r.doc_id is None, r.doc_id or 0, None if r.text is None else r.text.split()) for r in got), key=repr) == slow_cut(rows)
+        assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in got)
+        uncut = {t for i, t in rows if (i if i is not None else suffix.LAST, xx(t), True) not in covered(rows, 50)}
+        assert uncut <= {r.text for r in got}
+    assert suffix.without_copies(documents(spark, [])).count() == 0
 
 
 def test_minimisers_are_content_selected():
     draw = np.random.default_rng(1)
     h = draw.integers(0, 2**63, 200).astype(np.uint64)
-    a = suffix.anchors(suffix.gram_hashes(h, 25), 26)
-    b = suffix.anchors(suffix.gram_hashes(np.concatenate([h[:7], h]), 25), 26)
+    a = suffix.anchors(suffix.Sequences(h).grams(25), 26)
+    b = suffix.anchors(suffix.Sequences(np.concatenate([h[:7], h])).grams(25), 26)
     assert (a + 7 == b[7:]).all()
 
 
@@ -564,6 +603,87 @@ def test_cotraining(spark, hard):
     assert cotrain.score_documents(documents(spark, []), labels).count() == 0
 
 
+def measured(text, source, lang, n_chars):
+    return [*cotrain.style(text), *cotrain.metadata(source, lang, n_chars), *(b / (10 * cotrain.STEPS) for b in cotrain.words(text))]
+
+
+def test_views_share_nothing():
+    """The text's view doesn't change with the metadata, nor the other one with the text."""
+    k = len(cotrain.TEXT)
+    row = lambda *x: cotrain.views(np.array([measured(*x)]))[0]
+    a, b, c = row("some words", "s", "en", 10), row("some words", "t", "de", 99), row("*** 12\nOther | words", "s", "en", 10)
+    assert (a[:k] == b[:k]).all() and (a[k:] != b[k:]).any() and (a[k:] == c[k:]).all() and (a[:k] != c[:k]).any()
+    assert (row(None, None, None, None)[:k] == 0).all() and cotrain.words("a b ***") == cotrain.words("*** B a") != cotrain.words("a b c")
+
+
+def slow_logistic(x, y, weight, penalty=1.0):
+    """Weights by plain gradient steps with momentum, until nothing moves."""
+    x = np.hstack([x, np.ones((len(x), 1))])
+    ridge = np.full(x.shape[1], penalty)
+    ridge[-1] = 1e-6
+    step = 1 / (np.linalg.norm(x * np.sqrt(weight)[:, None], 2) ** 2 / 4 + penalty)
+    w = ahead = np.zeros(x.shape[1])
+    for n in range(60_000):
+        p = 1 / (1 + np.exp(-np.clip(x @ ahead, -30, 30)))
+        new = ahead - step * (x.T @ (weight * (p - y)) + ridge * ahead)
+        ahead, w, moved = new + n / (n + 3) * (new - w), new, np.abs(new - w).max()
+        if moved < 1e-9:
+            break
+    return w
+
+
+def test_one_round_by_brute_force(spark):
+    """One round: the rows that each view teaches the other, and the views fitted to them, as by whole matrices and a full sort."""
+    draw = random.Random(15)
+    rows = []
+    for i in range(900):
+        bad = draw.random() < 0.4
+        words = [f"w{draw.randrange(300)}" + (draw.choice(["***", "%%%", ""]) if bad else "") for _ in range(draw.randrange(5, 25))]
+        rows.append((i, " ".join(words) + ("" if bad or draw.random() < 0.3 else "."), "forum" if draw.random() < (0.8 if bad else 0.15) else "press", draw.choice(["en", "de"]), None if i % 9 == 0 else 40 * len(words) + draw.randrange(300), int(not bad)))
+    docs = spark.createDataFrame([r[:5] for r in rows], "doc_id long, text string, source string, lang string, n_chars long")
+    labels = spark.createDataFrame([(r[0], r[5]) for r in rows if r[0] % 4 == 1], "doc_id long, quality int")
+    found = cotrain.measured(docs, labels)
+    held = found.toArrow().combine_chunks().sort_by("doc_id")
+    ids, y, tie = held["doc_id"].to_pylist(), held["y"].to_numpy(), held["draw"].to_numpy()
+    x = np.array([measured(r[1], r[2], r[3], r[4]) for r in rows])
+    assert ids == [r[0] for r in rows] and np.allclose(cotrain.matrix(held["x"].combine_chunks(), held["words"].combine_chunks()), x)
+    every = cotrain.views(x)
+    scale = np.where(every.std(0) < 1e-9, 1, every.std(0))
+    z = (every - every.mean(0)) / scale
+    parts = [z[:, : len(cotrain.TEXT)], z[:, len(cotrain.TEXT) :]]
+    fold = np.array([zlib.crc32(str(i).encode()) % cotrain.FOLDS for i in ids])
+    known = (y >= 0) & (fold != 0)
+    model = cotrain.train(found, x[y >= 0], y[y >= 0], fold[y >= 0], rounds=1)
+    first, cuts = model["rounds"][0]
+    n = max(1, int((y == -1).sum() * cotrain.TAUGHT / 2))
+    low = np.log(cotrain.SURE / (1 - cotrain.SURE))
+    for v in (0, 1):
+        plain = slow_logistic(parts[v][known], y[known], np.ones(known.sum()))
+        assert np.allclose(first[v], plain, atol=1e-4)
+    taught = cotrain._taught(model, parts, tie, y)
+    for v, other in ((0, 1), (1, 0)):
+        o = np.clip(parts[v] @ first[v][:-1] + first[v][-1], -30, 30)
+        for label, sure in ((0, -o), (1, o)):
+            mine = np.flatnonzero(taught[other] == label)
+            could = np.flatnonzero((y == -1) & (sure >= low - 1e-12))
+            want = sorted(could, key=lambda i: -sure[i])[:n]
+            step = (30 - low) / cotrain.BINS
+            assert set(mine) <= set(could) and abs(len(mine) - len(want)) <= 3 * len(want) ** 0.5
+            if len(could) > n:  # all above the step of the last one, none below it
+                last = sure[want[-1]]
+                assert {i for i in could if sure[i] > last + step} <= set(mine) and all(sure[i] >= last - step for i in mine)
+            else:
+                assert set(mine) == set(want)
+        use = taught[other] >= 0
+        assert model["taught"][other] == use.sum()
+    for v in (0, 1):
+        use = taught[v] >= 0
+        both = np.vstack([parts[v][known], parts[v][use]])
+        want = slow_logistic(both, np.concatenate([y[known], taught[v][use]]), np.concatenate([np.ones(known.sum()), np.full(use.sum(), 0.5)]))
+        assert np.allclose(model["views"][v], want, atol=2e-3)
+    assert max(model["taught"]) > 0
+
+
 def test_cotraining_learns_from_all_rows_without_a_label(spark):
     draw = random.Random(6)
     rows = []
@@ -575,7 +695,7 @@ def test_cotraining_learns_from_all_rows_without_a_label(spark):
     labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(1, 1200) if i % 50], "doc_id long, quality int")
     found = cotrain.measured(docs, labels)
     model = cotrain.fit(found)
-    every = cotrain.views(np.array([cotrain.measures(t, s, None, None) for _, t, s in rows]))
+    every = cotrain.views(np.array([measured(t, s, None, None) for _, t, s in rows]))
     assert np.allclose(model["mean"], every.mean(0)) and np.allclose(model["scale"], np.where(every.std(0) < 1e-9, 1, every.std(0)))
     assert model["pool"] == 12_000 - labels.count() and max(model["taught"]) > 1600
     assert max(model["taught"]) <= 1.1 * cotrain.ROUNDS * cotrain.TAUGHT * model["pool"]
