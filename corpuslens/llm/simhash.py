@@ -239,11 +239,12 @@ def links(fps: DataFrame, most: int = MOST_HELD) -> DataFrame:
     copies) get exact_keys() instead, none of which can hold more than 65,536.
     """
     values = fps.select("fp").distinct()
-    found = stored(_linked(values.repartition(partitions(fps.sparkSession), "fp"), _golay, most).distinct(), "simhash-found")
+    # Dealt out evenly: each value makes 119 rows, so that few bytes are much work.
+    found = stored(_linked(values.repartition(partitions(fps.sparkSession)), _golay, most).distinct(), "simhash-found")
     edges, dense = found.where("a < b"), found.where("a = b").select(F.col("a").alias("fp"))
     if not dense.limit(1).count():
         return edges
-    return edges.unionByName(_linked(dense.repartition(partitions(fps.sparkSession), "fp"), _exact, 1 << 16)).distinct()
+    return edges.unionByName(_linked(dense.repartition(partitions(fps.sparkSession)), _exact, 1 << 16)).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
