@@ -43,3 +43,18 @@ def bib_subset(bib: DataFrame, keys: DataFrame, text: str = "text") -> DataFrame
     kept = named.where("key <> ''").join(keys, "key", "left_semi")
     joined = F.array_join(F.array_sort(F.collect_list("entry")), "\n\n")
     return kept.agg(F.when(F.count("*") > 0, F.concat(joined, F.lit("\n"))).otherwise("").alias("bib"))
+
+
+#: Extractors of tables by name: each takes a dictionary of the tables it needs and a language's id.
+EXTRACTORS = {
+    "lexicon": lambda tables, language: lexicon(tables["forms"], tables["parameters"], language),
+    "structure": lambda tables, language: structure(tables["values"], tables["parameters"], tables["codes"], language),
+    "rows": lambda tables, language: language_rows(tables["rows"], language, tables["rows"].columns),
+}
+
+
+def extract(kind: str, tables: dict[str, DataFrame], language: str) -> DataFrame:
+    """The rows of a language by a registered extractor; KeyError for another name."""
+    if kind not in EXTRACTORS:
+        raise KeyError(f"unknown extractor {kind!r}, known: {sorted(EXTRACTORS)}")
+    return EXTRACTORS[kind](tables, language)

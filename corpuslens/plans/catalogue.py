@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpuslens.plans import base, corpus_queries, table_queries, text_queries  # noqa: F401
+from corpuslens.plans import base, corpus_queries, file_queries, table_queries, text_queries  # noqa: F401
 
 
 def queries() -> dict:

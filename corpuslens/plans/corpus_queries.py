@@ -75,38 +75,53 @@ def _next_turns(spark, sf_dir):
     return turns.join(after, ["conv_id", "turn"])
 
 
-@query()
+_NEXT = f"""
+t AS MATERIALIZED (SELECT conv_id, turn, {B.norm('text')} AS r FROM conversations),
+n AS MATERIALIZED (SELECT a.conv_id, a.turn, a.r AS ref, b.r AS hyp, {B.split_words('a.r')} AS rw, {B.split_words('b.r')} AS hw, list_distinct(string_split(a.r || b.r, '')) AS letters FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)
+"""
+# SQL's distance counts bytes: a pair's different letters become single bytes first.
+_LETTERS = "array_to_string(list_transform(string_split({0}, ''), lambda c: chr(CAST(list_position(letters, c) AS INTEGER))), '')"
+_CHAR_EDITS = f"CASE WHEN ref = '' OR hyp = '' THEN greatest(length(ref), length(hyp)) ELSE levenshtein({_LETTERS.format('ref')}, {_LETTERS.format('hyp')}) END"
+# Rows of the distance table less their column numbers: a step takes the lesser of what stands above and before, the next one the least so far.
+_WORD_EDITS = """len(hw) + list_reduce(
+    flatten(list_transform(rw, lambda w: [list_transform(hw, lambda v: CASE WHEN v = w THEN 0 ELSE 1 END), CAST([] AS INTEGER[])])),
+    lambda s, c: CASE WHEN len(c) = 0 THEN list_transform(range(1, len(s) + 1), lambda j: list_min(s[1:j]))
+        ELSE [s[1] + 1] || list_transform(range(1, len(c) + 1), lambda j: least(s[j + 1] + 1, s[j] + c[j] - 1)) END,
+    list_transform(range(0, len(hw) + 1), lambda j: 0))[-1]"""
+_WORD_EDITS = f"CASE WHEN len(rw) = 0 OR len(hw) = 0 THEN greatest(len(rw), len(hw)) ELSE {_WORD_EDITS} END"
+
+
+@query(f"WITH {_NEXT} SELECT conv_id, turn, CAST({_CHAR_EDITS} AS BIGINT) AS edits FROM n")
 def edit_distance_chars(spark, sf_dir):
+    """Each turn against the one after it."""
     return _next_turns(spark, sf_dir).select("conv_id", "turn", scoring.char_edits("ref", "hyp").alias("edits"))
 
 
-@query()
+@query(f"WITH {_NEXT} SELECT conv_id, turn, CAST({_WORD_EDITS} AS BIGINT) AS edits FROM n")
 def edit_distance_words(spark, sf_dir):
     rows = _next_turns(spark, sf_dir).select("conv_id", "turn", scoring.split_words("ref").alias("r"), scoring.split_words("hyp").alias("h"))
     return rows.select("conv_id", "turn", scoring.word_edits("r", "h").alias("edits"))
 
 
-# The hypotheses are the references without diacritics: what carries a mark has no equal there, so each such word or letter is one edit.
-_PAIRS = f"(SELECT conv_id, turn, r, {B.strip('r')} AS h FROM (SELECT conv_id, turn, {B.norm('text')} AS r FROM conversations))"
-_MARKED = f"lambda x: x <> {B.strip('x')}"
+_RATE = "round(CASE WHEN {1} = 0 THEN CASE WHEN {2} = 0 THEN 0 ELSE 1 END ELSE ({0}) / {1} END, 6)"
 
 
-@query(f"""
-SELECT conv_id, turn, round(CASE WHEN len(w) = 0 THEN 0 ELSE len(list_filter(w, {_MARKED})) / len(w) END, 6) AS wer, round(CASE WHEN length(r) = 0 THEN 0 ELSE len(list_filter(string_split(r, ''), {_MARKED})) / length(r) END, 6) AS cer
-FROM (SELECT *, {B.split_words('r')} AS w FROM {_PAIRS})
-""")
+@query(f"WITH {_NEXT} SELECT conv_id, turn, {_RATE.format(_WORD_EDITS, 'len(rw)', 'len(hw)')} AS wer, {_RATE.format(_CHAR_EDITS, 'length(ref)', 'length(hyp)')} AS cer FROM n")
 def pair_wer_cer(spark, sf_dir):
-    return scoring.pair_rates(_turns(spark, sf_dir)).select("conv_id", "turn", r6("wer").alias("wer"), r6("cer").alias("cer"))
+    return scoring.pair_rates(_next_turns(spark, sf_dir)).select("conv_id", "turn", r6("wer").alias("wer"), r6("cer").alias("cer"))
 
 
 @query(f"""
-SELECT conv_id, round(coalesce(sum(len(list_filter(w, {_MARKED}))) / nullif(sum(len(w)), 0), 0), 6) AS wer, round(coalesce(sum(len(list_filter(string_split(r, ''), {_MARKED}))) / nullif(sum(length(r)), 0), 0), 6) AS cer
-FROM (SELECT *, {B.split_words('r')} AS w FROM {_PAIRS}) GROUP BY conv_id
+WITH {_NEXT} SELECT conv_id, round(coalesce(sum({_WORD_EDITS}) / nullif(sum(len(rw)), 0), 0), 6) AS wer, round(coalesce(sum({_CHAR_EDITS}) / nullif(sum(length(ref)), 0), 0), 6) AS cer
+FROM n GROUP BY conv_id
 """)
 def corpus_wer_cer(spark, sf_dir):
-    return scoring.corpus_rates(_turns(spark, sf_dir), "conv_id").select("conv_id", r6("wer").alias("wer"), r6("cer").alias("cer"))
+    return scoring.corpus_rates(_next_turns(spark, sf_dir), "conv_id").select("conv_id", r6("wer").alias("wer"), r6("cer").alias("cer"))
 
 
+# The hypotheses are the references without diacritics: what carries a mark has no equal there, so each such word or letter is one edit.
+_PAIRS = f"(SELECT conv_id, turn, r, {B.strip('r')} AS h FROM (SELECT conv_id, turn, {B.norm('text')} AS r FROM conversations))"
+_MARKED = f"lambda x: x <> {B.strip('x')}"
 _LEVEL = "SELECT '{0}' AS level, round(sum(len(list_filter(w, {1}))) / sum(len(w)), 6) AS wer, round(sum(len(list_filter(string_split(x, ''), {1}))) / sum(length(x)), 6) AS cer FROM (SELECT x, {2} AS w FROM (SELECT {3} AS x FROM {4}))"
 
 
@@ -164,7 +179,24 @@ def linked_documents(spark, sf_dir):
     return split.linked_groups(docs, "item", ["k0", "k1"])
 
 
-@query()
+_DISJOINT = _LINKED.format(items="SELECT conv_id * 1000 + turn AS item, CAST(conv_id AS VARCHAR) AS k0, text AS k1 FROM conversations").rstrip().removesuffix("SELECT item, dense_rank() OVER (ORDER BY root) - 1 AS grp FROM low")
+
+
+@query(f"""
+{_DISJOINT}, grouped AS (SELECT item, dense_rank() OVER (ORDER BY root) - 1 AS grp FROM low),
+sizes AS MATERIALIZED (SELECT grp, count(*) AS n, row_number() OVER (ORDER BY md5('42:' || grp), grp) AS place FROM grouped GROUP BY grp),
+aims AS MATERIALIZED (SELECT 0.1 * sum(n) AS test, 0.075 * sum(n) AS validation FROM sizes),
+fill(place, grp, split, test, validation) AS (
+    SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT), '', CAST(0 AS DOUBLE), CAST(0 AS DOUBLE)
+    UNION ALL
+    SELECT place, grp, split, test + CASE WHEN split = 'test' THEN n ELSE 0 END, validation + CASE WHEN split = 'validation' THEN n ELSE 0 END
+    FROM (SELECT s.place, s.grp, s.n, f.test, f.validation, CASE WHEN a.test - f.test >= a.validation - f.validation
+            THEN CASE WHEN a.test - f.test > 0 AND s.n / 2 <= a.test - f.test THEN 'test' ELSE 'train' END
+            ELSE CASE WHEN a.validation - f.validation > 0 AND s.n / 2 <= a.validation - f.validation THEN 'validation' ELSE 'train' END END AS split
+        FROM fill f JOIN sizes s ON s.place = f.place + 1 CROSS JOIN aims a)
+)
+SELECT item, grp, split FROM grouped JOIN fill USING (grp)
+""")
 def disjoint_split(spark, sf_dir):
     return split.disjoint_split(_conversation_groups(spark, sf_dir), {"test": 0.1, "validation": 0.075})
 
@@ -380,31 +412,66 @@ def restore_unseen(spark, sf_dir):
     return restore.restore_unseen(_turn_words(spark, sf_dir), chars)
 
 
-@query()
+_CASED = """CASE WHEN upper({0}) <> lower({0}) AND {0} = lower({0}) THEN {1} WHEN upper({0}) <> lower({0}) AND {0} = upper({0}) AND length({0}) > 1 THEN upper({1})
+    ELSE array_to_string(list_transform(range(1, least(length({0}), length({1})) + 1), lambda i: CASE WHEN ({0})[i] = lower(({0})[i]) THEN ({1})[i] ELSE upper(({1})[i]) END), '') END"""
+
+
+def _restored(train: str, texts: str) -> str:
+    """Common table expressions that restore texts (sid, text) from training documents; the last one is done (sid, restored)."""
+    unseen = _UNSEEN[_UNSEEN.index("qv AS") : _UNSEEN.index("SELECT plain, string_agg")]
+    return f"""{_PAIR_ROWS.replace("FROM documents", f"FROM {train}")}, {_CHAR_ROWS}, {_BEST},
+bc AS MATERIALIZED (SELECT key, arg_min(form, (-n, first)) AS letter FROM tc GROUP BY key),
+given AS MATERIALIZED (SELECT sid, text FROM {texts}),
+pc AS MATERIALIZED (SELECT sid, generate_subscripts(l, 1) AS nth, unnest(l) AS piece FROM (SELECT sid, regexp_extract_all(nfc_normalize(text), '{B.WORD}|[^\\p{{L}}\\p{{Nl}}\\p{{No}}]+') AS l FROM given)),
+wd AS MATERIALIZED (SELECT sid, nth, piece, plain, coalesce(lag(plain) OVER (PARTITION BY sid ORDER BY nth), '<s>') AS prev FROM (SELECT *, lower({B.strip('piece')}) AS plain FROM pc WHERE regexp_matches(piece, '^{B.LETTER}'))),
+q AS MATERIALIZED (SELECT DISTINCT plain FROM wd WHERE plain NOT IN (SELECT key FROM bw)),
+{unseen.rstrip()},
+made AS MATERIALIZED (SELECT plain, string_agg(coalesce(letter, plain[i]), '' ORDER BY i) AS form FROM each LEFT JOIN hit USING (plain, i) GROUP BY plain),
+forms AS (SELECT sid, nth, piece, coalesce(CASE WHEN bw.forms > 1 THEN coalesce(bb.form, bw.form) ELSE bw.form END, made.form) AS form
+    FROM wd LEFT JOIN bw ON bw.key = wd.plain LEFT JOIN bb ON bb.key = wd.prev || ' ' || wd.plain LEFT JOIN made ON made.plain = wd.plain),
+outs AS (SELECT sid, nth, {_CASED.format("piece", "form")} AS out FROM forms UNION ALL SELECT sid, nth, piece FROM pc WHERE NOT regexp_matches(piece, '^{B.LETTER}')),
+done AS MATERIALIZED (SELECT g.sid, coalesce(o.restored, '') AS restored FROM given g LEFT JOIN (SELECT sid, string_agg(out, '' ORDER BY nth) AS restored FROM outs GROUP BY sid) o ON o.sid = g.sid)"""
+
+
+@query(f"WITH {_restored('documents', f'(SELECT conv_id * 1000 + turn AS sid, {B.strip("text")} AS text FROM conversations)')} SELECT sid, restored FROM done")
 def restore_text(spark, sf_dir):
     pairs = _pairs(spark, sf_dir)
     turns = read(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("sid"), T.strip_diacritics("text").alias("text"))
     return restore.restore(turns, restore.fit_words(pairs), restore.fit_bigrams(pairs), restore.fit_chars(pairs))
 
 
+def _evaluated(run: str, train: str, test: str) -> str:
+    """restorer_eval of one run in SQL: train and test are conditions on documents and their side."""
+    sides = _RANKED.replace("SELECT doc_id, text,", "SELECT doc_id, text, lang,", 1)
+    return f"""(WITH sides AS MATERIALIZED (SELECT * FROM {sides}), train AS MATERIALIZED (SELECT doc_id, text FROM sides WHERE split = 'train' AND {train}), test AS MATERIALIZED (SELECT doc_id AS sid, text FROM sides WHERE split = 'test' AND {test}),
+{_restored("train", f"(SELECT sid, {B.strip(B.norm('text'))} AS text FROM test)")},
+lists AS (SELECT {B.words('t.text')} AS r, {B.words('d.restored')} AS h FROM test t JOIN done d USING (sid)),
+tokens AS (SELECT ref, hyp, {B.strip('ref')} AS plain FROM (SELECT unnest(r) AS ref, unnest(h) AS hyp FROM lists WHERE len(r) = len(h))),
+flags AS (SELECT ref = hyp AS good, ref <> plain AS marked, plain NOT IN (SELECT key FROM tw) AS unseen FROM tokens)
+SELECT '{run}' AS run, count(*) AS words, round(coalesce(count(*) FILTER (good) / nullif(count(*), 0), 0), 6) AS word_accuracy, round(coalesce(count(*) FILTER (NOT marked) / nullif(count(*), 0), 0), 6) AS baseline_accuracy,
+    count(*) FILTER (marked) AS marked_words, round(coalesce(count(*) FILTER (marked AND good) / nullif(count(*) FILTER (marked), 0), 0), 6) AS marked_word_accuracy,
+    count(*) FILTER (unseen) AS unseen_words, round(coalesce(count(*) FILTER (unseen AND good) / nullif(count(*) FILTER (unseen), 0), 0), 6) AS unseen_word_accuracy FROM flags)"""
+
+
 def _sides(spark, sf_dir):
     docs = split.train_test_split(read(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "doc_id")
     return docs.where("split = 'train'"), docs.where("split = 'test'")
 
 
-@query()
+@query(f"SELECT * FROM {_evaluated('all', 'true', 'true')}")
 def restorer_eval(spark, sf_dir):
     train, test = _sides(spark, sf_dir)
     found = restore.experiment({"all": (train, test)})
     return found.select(*[r6(c).alias(c) if "accuracy" in c else F.col(c) for c in found.columns])
 
 
-@query()
+_RUNS = {"fr to fr": (["fr"], "fr"), "fr to es": (["fr"], "es"), "es to es": (["es"], "es"), "both to es": (["fr", "es"], "es"), "both to fr": (["fr", "es"], "fr")}
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM {_evaluated(run, f'lang IN ({chr(44).join(repr(x) for x in langs)})', f'lang = {to!r}')}" for run, (langs, to) in _RUNS.items()))
 def restorer_matrix(spark, sf_dir):
     train, test = _sides(spark, sf_dir)
-    pick = lambda df, *langs: df.where(F.col("lang").isin(*langs))
-    runs = {"fr to fr": (pick(train, "fr"), pick(test, "fr")), "fr to es": (pick(train, "fr"), pick(test, "es")), "es to es": (pick(train, "es"), pick(test, "es")), "both to es": (pick(train, "fr", "es"), pick(test, "es")), "both to fr": (pick(train, "fr", "es"), pick(test, "fr"))}
-    found = restore.experiment(runs)
+    found = restore.experiment({run: (train.where(F.col("lang").isin(*langs)), test.where(F.col("lang") == to)) for run, (langs, to) in _RUNS.items()})
     return found.select(*[r6(c).alias(c) if "accuracy" in c else F.col(c) for c in found.columns])
 
 
@@ -454,7 +521,7 @@ class _Whisper:
         return call
 
 
-@query()
+@query("SELECT CAST(event_id AS VARCHAR) AS id, n / 10.0 AS seconds, event_type AS text, n || ' samples' AS hyp FROM (SELECT *, CAST(floor(abs(coalesce(value, 0)) % 400) AS BIGINT) + 1 AS n FROM events) WHERE n <= 400")
 def batched_inference(spark, sf_dir):
     """Clips drawn from events: a waveform as long as the value says."""
     e = read(spark, sf_dir, "events")
@@ -467,7 +534,29 @@ def translate_batches(spark, sf_dir):
     return infer.translate(read(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), _Whisper()).select("conv_id", "turn", "hyp")
 
 
-@query()
+_GRAM = "list_transform(range(1, len({0}) - {1} + 2), lambda i: array_to_string(({0})[i : i + {1} - 1], {2}))"
+
+
+def _both(x: str, name: str) -> str:
+    """Letters and words of a text as chrF++ takes them: words with the marks at their ends apart."""
+    apart = rf"regexp_replace(regexp_replace({x}, '([^\p{{L}}\p{{N}}\s])(\s|$)', ' \1\2', 'g'), '(^|\s)([^\p{{L}}\p{{N}}\s])', '\1\2 ', 'g')"
+    return rf"list_filter(string_split(regexp_replace({x}, '\s+', '', 'g'), ''), lambda c: c <> '') AS {name}c, list_filter(string_split_regex({apart}, '{B.SPACE}+'), lambda c: c <> '') AS {name}m, {B.split_words(x)} AS {name}w"
+
+
+_ORDERS = [("c", n, "''") for n in range(1, 7)] + [("m", n, "' '") for n in (1, 2)] + [("w", n, "' '") for n in range(1, 5)]
+
+
+@query(f"""
+WITH {_NEXT}, l AS MATERIALIZED (SELECT conv_id, turn, {_both('hyp', 'h')}, {_both('ref', 'r')} FROM n),
+g AS MATERIALIZED ({" UNION ALL ".join(f"SELECT conv_id, turn, '{kind}' AS kind, {n} AS n, {side} AS of_hyp, unnest({_GRAM.format(('h' if side else 'r') + kind, n, sep)}) AS gram FROM l WHERE len({('h' if side else 'r') + kind}) >= {n}" for kind, n, sep in _ORDERS for side in (1, 0))}),
+c AS (SELECT conv_id, turn, kind, n, gram, count(*) FILTER (of_hyp = 1) AS hyp, count(*) FILTER (of_hyp = 0) AS ref FROM g GROUP BY ALL),
+s AS MATERIALIZED (SELECT conv_id, kind, n, sum(least(hyp, ref)) AS matched, sum(hyp) AS hyp, sum(ref) AS ref FROM c GROUP BY ALL),
+f AS (SELECT conv_id, avg(CASE WHEN matched = 0 THEN 0 ELSE 5 * (matched / hyp) * (matched / ref) / (4 * (matched / hyp) + matched / ref) END) AS f FROM s WHERE kind <> 'w' AND hyp > 0 AND ref > 0 GROUP BY conv_id),
+z AS (SELECT *, sum(CASE WHEN matched = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY n) AS zeros FROM s WHERE kind = 'w' AND hyp > 0),
+p AS (SELECT conv_id, count(*) AS orders, avg(CASE WHEN matched > 0 THEN ln(matched / hyp) ELSE ln(1 / (power(2, zeros) * hyp)) END) AS mean FROM z GROUP BY conv_id),
+k AS (SELECT conv_id, sum(len(hw)) AS h, sum(len(rw)) AS r FROM l GROUP BY conv_id)
+SELECT conv_id, round(100 * f, 6) AS chrf, round(CASE WHEN orders < 4 THEN 0 ELSE 100 * exp(mean) * CASE WHEN h >= r THEN 1 ELSE exp(1 - r / h) END END, 6) AS bleu FROM f JOIN p USING (conv_id) JOIN k USING (conv_id)
+""")
 def mt_scores(spark, sf_dir):
     rows = _next_turns(spark, sf_dir).select(F.col("conv_id").alias("conv_id"), F.concat_ws(":", "conv_id", "turn").alias("id"), "hyp", "ref")
     both = scoring.chrf(rows, "conv_id").join(scoring.bleu(rows.withColumn("refs", F.array("ref")), "conv_id"), "conv_id")

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import functions as F
 
 from corpuslens.functions import text as T
 from corpuslens.operators import catalog, lexicon, parallel
 from corpuslens.plans import base as B
 from corpuslens.plans.base import query, read
-from corpuslens.sources import readers, writers
+from corpuslens.plans.file_queries import SOURCES, sources
+from corpuslens.sources import readers
 
 
 @query("""
@@ -56,27 +55,11 @@ def pair_split_counts(spark, sf_dir):
     return parallel.split_counts(spark.sql(f"SELECT * FROM {_PAIRS}"), 1, [0, 1])
 
 
-# id, type, license, redistributable, in_repo, repo_id, url, text patterns, audio patterns, text bytes, audio bytes, transcripts in audio
-_SOURCES = [
-    ("lexica", "github", "CC-BY-4.0", True, True, None, None, [], [], None, None, False),
-    ("scans", "manual", "unknown", False, False, None, "https://example.org/scans", [], [], None, None, False),
-    ("tape", "ftp", "CC0", True, False, None, None, [], [], None, None, False),
-    ("web", "hf", "ODC-BY", True, False, "org/web", None, ["data/*.parquet"], [], 3_400_000, None, False),
-    ("voices", "hf", "CC-BY-NC", False, False, "org/voices", None, ["meta/*.jsonl"], ["audio/*.tar"], 1_000, 8_300_000_000, False),
-    ("clips", "hf", "CC-BY-4.0", True, False, "org/clips", None, ["README.md"], ["*.parquet"], 500, None, True),
-]
-
-
-def _sources(spark):
-    rows = [json.dumps({"id": i, "name": i, "kind": "corpus", "license": lic, "redistributable": red, "in_repo": rep, "access": {"type": t, "repo_id": r, "url": u, "text_patterns": tp, "audio_patterns": ap, "text_bytes": tb, "audio_bytes": ab, "transcripts_in_audio": tr}}) for i, t, lic, red, rep, r, u, tp, ap, tb, ab, tr in _SOURCES]
-    return spark.createDataFrame([(r,) for r in rows], "j string").select(F.from_json("j", catalog.SOURCE).alias("s")).select("s.*")
-
-
 def _sql(x) -> str:
     return "NULL" if x is None else str(x) if isinstance(x, (bool, int)) else "'" + str(x) + "'"
 
 
-_CATALOGUE = "(VALUES " + ", ".join("(" + ", ".join([*map(_sql, r[:7]), _sql(",".join(r[7])), _sql(",".join(r[8])), *(f"CAST({_sql(x)} AS BIGINT)" for x in r[9:11]), _sql(r[11])]) + ")" for r in _SOURCES) + ") v(id, type, license, redistributable, in_repo, repo_id, url, texts, audio, text_bytes, audio_bytes, inside)"
+_CATALOGUE = "(VALUES " + ", ".join("(" + ", ".join([*map(_sql, r[:7]), _sql(",".join(r[7])), _sql(",".join(r[8])), *(f"CAST({_sql(x)} AS BIGINT)" for x in r[9:11]), _sql(r[11])]) + ")" for r in SOURCES) + ") v(id, type, license, redistributable, in_repo, repo_id, url, texts, audio, text_bytes, audio_bytes, inside)"
 _STEPS = f"""
 a AS (SELECT *, CASE WHEN type = 'github' OR in_repo THEN 'in_repo' WHEN type = 'manual' THEN 'manual' WHEN type <> 'hf' THEN 'skip' WHEN NOT redistributable THEN 'skip' ELSE 'download' END AS action FROM {_CATALOGUE}),
 steps AS (SELECT id AS source_id, action, CASE action WHEN 'in_repo' THEN 'already in the repository' WHEN 'manual' THEN 'download by hand: ' || url
@@ -88,54 +71,12 @@ steps AS (SELECT id AS source_id, action, CASE action WHEN 'in_repo' THEN 'alrea
 
 @query(f"WITH {_STEPS} SELECT * FROM steps")
 def plan_sources(spark, sf_dir):
-    return catalog.plan(_sources(spark), audio=True, skip_restricted=True).withColumn("patterns", F.array_join("patterns", ","))
+    return catalog.plan(sources(spark), audio=True, skip_restricted=True).withColumn("patterns", F.array_join("patterns", ","))
 
 
 @query(f"WITH {_STEPS} SELECT count(*) AS downloads, CAST(coalesce(sum(approx_bytes), 0) AS BIGINT) AS known_bytes, count(*) FILTER (approx_bytes IS NULL) AS unknown FROM steps WHERE action = 'download'")
 def plan_totals(spark, sf_dir):
-    return catalog.totals(catalog.plan(_sources(spark), audio=True, skip_restricted=True))
-
-
-_SIZE = "CASE WHEN {0} IS NULL THEN 'size unknown' WHEN {0} < 1000 THEN {0} || ' B' WHEN {0} < 1000000 THEN printf('%.1f KB', {0} / 1000.0) WHEN {0} < 1000000000 THEN printf('%.1f MB', {0} / 1000000.0) ELSE printf('%.1f GB', {0} / 1000000000.0) END"
-
-
-@query(f"SELECT id, 'corpus' AS kind, license, coalesce(repo_id, url, '') AS location, CASE WHEN audio <> '' THEN {_SIZE.format('text_bytes')} || ' / ' || {_SIZE.format('audio_bytes')} ELSE {_SIZE.format('text_bytes')} END AS size FROM {_CATALOGUE}")
-def source_list(spark, sf_dir):
-    return catalog.listing(_sources(spark))
-
-
-@query("SELECT s FROM (VALUES ('nowhere')) v(s)")
-def unknown_sources(spark, sf_dir):
-    return spark.createDataFrame([(x,) for x in catalog.unknown_ids(_sources(spark), ["web", "nowhere"])], "s string")
-
-
-@query(rf"SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '[\t\r\n]+', ' ', 'g'), '^{B.SPACE}+|{B.SPACE}+$', '', 'g') AS text FROM documents WHERE regexp_replace(regexp_replace(coalesce(text, ''), '[\t\r\n]+', ' ', 'g'), '^{B.SPACE}+|{B.SPACE}+$', '', 'g') <> ''")
-def extract_text(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents")
-    return docs.select("doc_id", T.clean_cell(F.col(readers.resolve(docs))).alias("text")).where("text <> ''")
-
-
-@query("SELECT event_id, coalesce(json_extract_string(props, '$.text'), json_extract_string(props, '$.k'), '') AS text FROM events")
-def jsonl_fallback(spark, sf_dir):
-    value = F.coalesce(F.get_json_object("props", "$.text"), F.get_json_object("props", "$.k"), F.lit(""))
-    return read(spark, sf_dir, "events").select("event_id", value.alias("text"))
-
-
-@query("""
-SELECT page_id, CAST(generate_subscripts(l, 1) - 1 AS BIGINT) AS line, unnest(l) AS text FROM (SELECT page_id, string_split_regex(regexp_replace(html, '\\r\\n|[\\n\\r\\x0b\\f\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]', chr(10), 'g'), chr(10)) AS l FROM pages)
-""")
-def split_lines(spark, sf_dir):
-    cut = F.split("html", r"\r\n|[\n\r\x0b\f\x1c-\x1e\x{85}\x{2028}\x{2029}]")
-    return read(spark, sf_dir, "pages").select("page_id", F.posexplode(cut).alias("line", "text")).withColumn("line", F.col("line").cast("bigint"))
-
-
-@query("""
-SELECT * FROM (SELECT l_orderkey, l_linenumber, p_name AS concept, p_brand AS gloss FROM lineitem JOIN part ON l_partkey = p_partkey)
-""")
-def lexicon_join(spark, sf_dir):
-    forms = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("Parameter_ID"), "l_orderkey", "l_linenumber")
-    params = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("Parameter_ID"), F.col("p_name").alias("concept"), F.col("p_brand").alias("gloss"))
-    return forms.join(params, "Parameter_ID").select("l_orderkey", "l_linenumber", "concept", "gloss")
+    return catalog.totals(catalog.plan(sources(spark), audio=True, skip_restricted=True))
 
 
 @query("""
@@ -169,12 +110,6 @@ def split_sentences(spark, sf_dir):
     return readers.split_sentences(c, assignment).where("split = 'test'").select("text")
 
 
-@query("SELECT min(doc_id) AS doc_id, text FROM documents GROUP BY text")
-def keep_first(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.groupBy("text").agg(F.min("doc_id").alias("doc_id"))
-
-
 @query("SELECT DISTINCT d.text FROM documents d WHERE d.doc_id % 2 = 0 AND d.text IN (SELECT text FROM documents WHERE doc_id % 2 = 1)")
 def text_overlap(spark, sf_dir):
     """Distinct texts that two halves of the documents share."""
@@ -190,31 +125,6 @@ def best_run(spark, sf_dir):
     return catalog.best_runs(spark.sql(f"SELECT * FROM {_RUNS}"), {"m2": 0, "m1": 1}, "d1")
 
 
-_OLD, _NEW = "(VALUES ('a', '1'), ('b', '2'), ('c', '3')) v(path, sha256)", "(VALUES ('a', '1'), ('b', '9'), ('d', '4')) v(path, sha256)"
-
-
-@query("SELECT * FROM (VALUES ('b', 'changed'), ('c', 'missing'), ('d', 'unexpected')) v(path, status)")
-def manifest_diff(spark, sf_dir):
-    return catalog.manifest_diff(spark.sql(f"SELECT * FROM {_OLD}"), spark.sql(f"SELECT * FROM {_NEW}"))
-
-
-@query()
-def file_manifest(spark, sf_dir):
-    return writers.manifest(spark, sf_dir, "*.parquet").select("path", "sha256", "bytes")
-
-
-@query("SELECT conv_id, turn, CASE WHEN length(text) / 15 > 30 THEN 'long' ELSE 'short' END AS bucket FROM conversations WHERE length(text) / 15 <= 40")
-def duration_buckets(spark, sf_dir):
-    """Clips of at most 40 s, those over 30 s apart; a text's length stands for its duration."""
-    seconds = F.length("text") / 15
-    return read(spark, sf_dir, "conversations").where(seconds <= 40).select("conv_id", "turn", F.when(seconds > 30, "long").otherwise("short").alias("bucket"))
-
-
-@query("SELECT id, json FROM (VALUES ('web', '{\"id\":\"web\",\"name\":\"web\",\"license\":\"ODC-BY\"}')) v(id, json)")
-def provenance(spark, sf_dir):
-    return writers.provenance(_sources(spark).where("id = 'web'")).select(F.col("source_id").alias("id"), "json")
-
-
 @query("SELECT item FROM (SELECT conv_id * 1000 + turn AS item, conv_id, text FROM conversations) WHERE conv_id % 10 = 0 AND text IN (SELECT text FROM conversations WHERE conv_id % 10 <> 0)")
 def leaked_items(spark, sf_dir):
     """Held-out items whose text is in train: a semi join."""

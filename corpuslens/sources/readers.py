@@ -19,22 +19,48 @@ SPLITS = ("train", "validation", "test")
 _BOM = "\ufeff"
 
 
-def csv(spark: SparkSession, path: str | list[str], sep: str = ",", quote: str = '"') -> DataFrame:
-    """Headed delimited text, all strings, a byte-order mark before the first name dropped; quote '' reads quotes as text."""
-    df = spark.read.option("header", True).option("sep", sep).option("quote", quote).option("escape", quote or "\\").option("multiLine", bool(quote)).csv(path)
-    return df.toDF(*[c.removeprefix(_BOM) for c in df.columns])
+def _place() -> list[Column]:
+    """Where a row was read: its file and the start of the part of it."""
+    return [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block")]
+
+
+def csv(spark: SparkSession, path: str | list[str], sep: str = ",", quote: str = '"', multi_line: bool | None = None, placed: bool = False) -> DataFrame:
+    """Headed delimited text, all strings, a byte-order mark before the first name dropped; quote '' reads quotes as text.
+
+    Quoted cells may hold line ends, so such a file is read by one task; multi_line=False reads files in parts, if no cell does. placed adds
+    the file and the place in it, for _numbered().
+    """
+    many = bool(quote) if multi_line is None else multi_line
+    df = spark.read.option("header", True).option("sep", sep).option("quote", quote).option("escape", quote or "\\").option("multiLine", many).csv(path)
+    names = df.columns
+    return df.select(*[F.col(f"`{c}`").alias(c.removeprefix(_BOM)) for c in names], *(_place() if placed else []))
 
 
 def tsv(spark: SparkSession, path: str | list[str], quote: str = "") -> DataFrame:
     return csv(spark, path, "\t", quote)
 
 
+def tsv_texts(spark: SparkSession, path: str | list[str], column: str = "text") -> DataFrame:
+    """(text): the text column of tab-separated files with the usual quotes; empty ones dropped."""
+    return tsv(spark, path, '"').select(F.col(column).alias("text")).where("text <> ''")
+
+
+#: Line ends that Python's splitlines knows besides line feeds.
+_ENDS = r"[\r\x0b\f\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+
+
 def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(file, row, text): a row per line, also at the line ends that Python's splitlines knows (form feed, U+2028 and so on)."""
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    cut = F.split(F.regexp_replace("value", r"\r\n|[\n\r\x0b\f\x1c-\x1e\x{85}\x{2028}\x{2029}]$", "\n"), r"\r\n|[\n\r\x0b\f\x1c-\x1e\x{85}\x{2028}\x{2029}]")
-    each = raw.select("file", F.posexplode(cut).alias("row", "text"), F.size(cut).alias("_n"))
-    return each.where("not (row = _n - 1 and text = '')").select("file", F.col("row").cast("bigint").alias("row"), "text")
+    """(file, row, text): a row per line, also at the line ends that Python's splitlines knows (form feed, U+2028 and so on).
+
+    Files are read in parts. Whether a file's last line has its line feed shows in the file's size, as texts are UTF-8.
+    """
+    raw = spark.read.option("lineSep", "\n").text(path).select(*_place(), F.col("_metadata.file_size").alias("_size"), "value", F.monotonically_increasing_id().alias("_at"))
+    ends = raw.groupBy("file").agg((F.sum(F.octet_length("value") + 1) > F.max("_size")).alias("_open"), F.max(F.struct("_block", "_at")).alias("_last"))
+    told = raw.join(ends, "file").withColumn("_open", F.col("_open") & (F.struct("_block", "_at") == F.col("_last")))
+    whole = F.when(F.col("_open"), F.col("value")).otherwise(F.regexp_replace("value", r"\r$", ""))
+    parts = told.select("file", "_block", "_at", "_open", F.split(whole, _ENDS).alias("_p"))
+    kept = F.when(F.col("_open") & (F.element_at("_p", -1) == ""), F.slice("_p", 1, F.size("_p") - 1)).otherwise(F.col("_p"))
+    return _numbered(parts.select("file", "_block", "_at", F.posexplode(kept).alias("_part", "text")), "_at", "_part")
 
 
 def resolve(df: DataFrame, wanted: str | None = None, names: tuple[str, ...] = TEXT_COLUMNS) -> str:
@@ -48,28 +74,36 @@ def resolve(df: DataFrame, wanted: str | None = None, names: tuple[str, ...] = T
 def parquet_text(spark: SparkSession, path: str | list[str], column: str | None = None) -> DataFrame:
     """(file, row, text) of one Parquet column (only that is read); null as ''."""
     df = spark.read.parquet(*([path] if isinstance(path, str) else path))
-    return _numbered(df.select(F.col("_metadata.file_path").alias("file"), F.coalesce(F.col(resolve(df, column)).cast("string"), F.lit("")).alias("text")))
+    return _numbered(df.select(*_place(), F.coalesce(F.col(resolve(df, column)).cast("string"), F.lit("")).alias("text")))
 
 
 def jsonl_text(spark: SparkSession, path: str | list[str], column: str = "text", fallback: tuple[str, ...] = TEXT_COLUMNS) -> DataFrame:
     """(file, row, text) of JSON lines: a field, else the first of others that isn't null, else ''; blank lines don't count."""
-    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value").where(F.trim("value") != "")
+    raw = spark.read.text(path).select(*_place(), "value").where(F.trim("value") != "")
     names = list(dict.fromkeys([column, *fallback]))
     value = F.coalesce(*[F.get_json_object("value", f"$['{n}']") for n in names], F.lit(""))
-    return _numbered(raw.select("file", value.alias("text")))
+    return _numbered(raw.select("file", "_block", value.alias("text")))
 
 
 def csv_text(spark: SparkSession, path: str | list[str], column: str | None = None) -> DataFrame:
-    """(file, row, text) of a CSV: a named column, else the first that isn't a key."""
-    df = csv(spark, path)
-    name = column if column in df.columns else next((c for c in df.columns if c not in KEY_COLUMNS), df.columns[0])
-    return _numbered(df.select(F.lit(path if isinstance(path, str) else ",".join(path)).alias("file"), F.coalesce(name, F.lit("")).alias("text")))
+    """(file, row, text) of CSV files: a named column, else the first that isn't a key. Each file's rows count from 0."""
+    df = csv(spark, path, placed=True)
+    names = df.columns[:-2]
+    name = column if column in names else next((c for c in names if c not in KEY_COLUMNS), names[0])
+    return _numbered(df.select("file", "_block", F.coalesce(F.col(f"`{name}`"), F.lit("")).alias("text")))
+
 
+def _numbered(df: DataFrame, *order: str) -> DataFrame:
+    """(file, row, text) of rows with the file and the _block of it that they were read from, numbered in each file from 0.
 
-def _numbered(df: DataFrame) -> DataFrame:
-    """(file, row, text) in the order read; a file's rows are counted in one task, files in parallel."""
-    order = Window.partitionBy("file").orderBy("_at")
-    return df.withColumn("_at", F.monotonically_increasing_id()).withColumn("row", (F.row_number().over(order) - 1).cast("bigint")).select("file", "row", "text")
+    The rows of a block are counted in one task, and a block's first number is the sum of the counts before it: a large file takes as many tasks as it has blocks.
+    """
+    if not order:
+        df, order = df.withColumn("_at", F.monotonically_increasing_id()), ("_at",)
+    counts = df.groupBy("file", "_block").agg(F.count("*").alias("_n"))
+    before = counts.select("file", "_block", (F.sum("_n").over(Window.partitionBy("file").orderBy("_block")) - F.col("_n")).alias("_before"))
+    within = df.withColumn("_in", F.row_number().over(Window.partitionBy("file", "_block").orderBy(*order)))
+    return within.join(before, ["file", "_block"]).select("file", (F.col("_before") + F.col("_in") - 1).cast("bigint").alias("row"), "text")
 
 
 READERS: dict[str, Callable] = {"parquet": parquet_text, "jsonl": jsonl_text, "csv": csv_text}
@@ -91,7 +125,7 @@ def corpus(spark: SparkSession, path: str, column: str = "text") -> DataFrame:
     A CSV with the named column gives that column; any other file, also a CSV without it, gives its lines.
     """
     if path.endswith(".csv") and column in csv(spark, path).columns:
-        rows = _numbered(csv(spark, path).select(F.lit(path).alias("file"), F.col(column).alias("text")))
+        rows = _numbered(csv(spark, path, placed=True).select("file", "_block", F.col(column).alias("text")))
     else:
         rows = lines(spark, path)
     return rows.select(F.col("row").alias("sid"), T.normalize_text("text").alias("text")).where("text <> ''")
@@ -100,10 +134,10 @@ def corpus(spark: SparkSession, path: str, column: str = "text") -> DataFrame:
 def read_lines(spark: SparkSession, path: str, column: str = "text") -> DataFrame:
     """(sid, text) of a .tsv (its text column, quotes as text), a .csv or plain lines; not normalized."""
     if path.endswith(".tsv"):
-        df = tsv(spark, path)
+        df = csv(spark, path, "\t", "", placed=True)
         if column not in df.columns:
             raise ValueError(f"{path} has no column {column!r}")
-        rows = _numbered(df.select(F.lit(path).alias("file"), F.coalesce(column, F.lit("")).alias("text")))
+        rows = _numbered(df.select("file", "_block", F.coalesce(column, F.lit("")).alias("text")))
     elif path.endswith(".csv"):
         return corpus(spark, path, column)
     else:
@@ -111,8 +145,21 @@ def read_lines(spark: SparkSession, path: str, column: str = "text") -> DataFram
     return rows.select(F.col("row").alias("sid"), "text")
 
 
+def report_name(path: str) -> str:
+    """What a report on a file is called: its folder where the file is text.tsv, else the file without its ending."""
+    parts = path.rstrip("/").split("/")
+    return parts[-2] if parts[-1] == "text.tsv" and len(parts) > 1 else parts[-1].rsplit(".", 1)[0]
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place))
+
+
 def first_column(spark: SparkSession, path: str) -> DataFrame:
-    """(text): the first column of a headed CSV, whatever its name."""
+    """(text): the first column of a headed CSV, whatever its name; no rows if there is no such file."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], "text string")
     df = csv(spark, path)
     return df.select(F.col(df.columns[0]).alias("text")).where("text <> ''")
 
@@ -203,3 +250,10 @@ def keep_first(df: DataFrame, text: Column | str, order: list[str]) -> DataFrame
     """One row per text, the first in an order."""
     first = Window.partitionBy(T._col(text)).orderBy(*order)
     return df.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+
+
+def version_pairs(src: DataFrame, tgt: DataFrame, key: str = "verse_key", text: str = "text") -> DataFrame:
+    """(verse_key, src, tgt): verses that two versions share, both texts normalized and not blank."""
+    left = src.select(key, T.normalize_text(text).alias("src"))
+    right = tgt.select(key, T.normalize_text(text).alias("tgt"))
+    return left.join(right, key).where("src <> '' and tgt <> ''").select(F.col(key).alias("verse_key"), "src", "tgt")

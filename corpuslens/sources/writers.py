@@ -21,7 +21,7 @@ def clean(df: DataFrame) -> DataFrame:
 def write_tsv(df: DataFrame, path: str, quote: str = "") -> None:
     """Tab-separated, header, UTF-8; without quotes cells are cleaned first, else quoted where needed. A file per partition."""
     rows = df if quote else clean(df)
-    rows.write.mode("overwrite").option("sep", "\t").option("header", True).option("quote", quote or "\0").option("emptyValue", "").option("nullValue", "").csv(path)
+    rows.write.mode("overwrite").option("sep", "\t").option("header", True).option("quote", quote or "\0").option("escape", quote or "\\").option("emptyValue", "").option("nullValue", "").csv(path)
 
 
 def write_split_csv(df: DataFrame, path: str, key: str = "utterance_id") -> None:
@@ -33,7 +33,22 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def write_splits(df: DataFrame, path: str, split: str = "split") -> None:
-    df.where(F.col(split).isin(*SPLITS)).write.mode("overwrite").partitionBy(split).parquet(path)
+    """A Parquet table for each split, as readers.speech() reads them."""
+    for name in SPLITS:
+        df.where(F.col(split) == name).drop(split).write.mode("overwrite").parquet(f"{path}/{name}.parquet")
+
+
+def write_hypotheses(df: DataFrame, path: str) -> None:
+    """A row per clip: id, seconds, reference and hypothesis, tab-separated."""
+    write_tsv(df.select("id", "seconds", F.col("text").alias("reference"), F.col("hyp").alias("hypothesis")), path)
+
+
+def write_predictions(df: DataFrame, path: str, target: str = "hyp") -> None:
+    """A row per test text: key, source, prediction and the references as columns, tab-separated, quoted where needed; texts without a reference are left out."""
+    refs = F.filter("refs", lambda x: x.isNotNull() & (x != ""))
+    many = df.agg(F.max(F.size("refs"))).first()[0] or 0
+    columns = [F.coalesce(F.get("refs", F.lit(k)), F.lit("")).alias(f"reference_{k + 1}") for k in range(many)]
+    write_tsv(df.where(F.size(refs) > 0).select("key", "src", F.col(target).alias("prediction"), *columns), path, quote='"')
 
 
 def save_model(path: str, words: DataFrame, bigrams: DataFrame, chars: DataFrame) -> None:
