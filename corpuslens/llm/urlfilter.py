@@ -6,12 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpuslens.llm.common import read
+from corpuslens.llm.common import fits, read, stored
 
-#: Intervals up to which they are broadcast (about 100 MB); beyond, both sides are shuffled with salted keys.
-MOST_BROADCAST = 1_000_000
-#: Parts that a key's captures are dealt into when both sides are shuffled; the intervals are copied to each.
-SALTS = 16
 FOREVER = "9999-12-31"
 
 
@@ -33,15 +29,36 @@ def host(url: Column) -> Column:
     return F.regexp_extract(F.lower(F.coalesce(url, F.lit(""))), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*[^/?#:.])", 1)
 
 
-def patterns(url: Column) -> Column:
-    """What a list may hold of a URL: its host, each domain above it, and its host with each leading part of its path (ending in '/' or whole)."""
+def _lengths(held: DataFrame) -> tuple[list[int], list[int]]:
+    """The different lengths of a list's patterns of hosts, and of those with a path: as many numbers as its longest pattern has characters at most."""
+    path = F.contains("pattern", F.lit("/")).alias("path")
+    found = held.select(path, F.length("pattern").alias("n")).where("n > 0").distinct().collect()
+    return tuple(sorted(r.n for r in found if r.path == want) for want in (False, True))
+
+
+def patterns(url: Column, of_hosts: list[int], of_paths: list[int]) -> Column:
+    """What a list may hold of a URL: its host, each domain above it, and its host with each leading part of its path (ending in '/' or whole).
+
+    Only those of a length that the list has are made, so that the work and the size are bounded by the list, however long the URL is.
+    """
+    none = F.array().cast("array<string>")
+    numbers = lambda found: F.array(*[F.lit(n) for n in found]) if found else F.array().cast("array<int>")
     h = host(url)
-    labels = F.split(h, r"\.")
-    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    path = F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://[^/?#]*(/[^?#]*)", 1)
-    steps = F.split(path, "/")
-    leading = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.concat(h, F.array_join(F.slice(steps, F.lit(1), i), "/"), F.when(i < F.size(steps), "/").otherwise("")))
-    return F.when(h == "", F.array().cast("array<string>")).when(path == "", domains).otherwise(F.array_distinct(F.concat(domains, leading)))
+    most = max(of_paths, default=0)
+    # The character after the longest pattern tells whether the URL goes on.
+    whole = F.substring(F.concat(h, F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://[^/?#]*(/[^?#]*)", 1)), 1, most + 1)
+
+    def made(both: Column) -> Column:
+        name, rest = both["name"], both["whole"]
+        n, m = F.length(name), F.length(rest)
+        above = F.filter(numbers(of_hosts), lambda k: (k == n) | ((k < n) & (F.substring(name, n - k, F.lit(1)) == ".")))
+        leading = F.filter(numbers(of_paths), lambda k: (k > n) & ((k == m) | ((k < m) & (F.substring(rest, k, F.lit(1)) == "/"))))
+        ends = F.transform(above, lambda k: F.substring(name, n - k + 1, k))
+        return F.concat(ends, F.transform(leading, lambda k: F.substring(rest, F.lit(1), k)))
+
+    # made() uses both texts often: they are worked out once.
+    once = F.get(F.transform(F.array(F.struct(h.alias("name"), whole.alias("whole"))), made), F.lit(0))
+    return F.when(h == "", none).otherwise(once)
 
 
 def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
@@ -49,17 +66,21 @@ def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
 
     Of several active entries the longest pattern counts, then the least list_name and pattern. URLs that are null or without a host, and
     captures without a date, are not blocked. Repeated captures stay; empty tables on either side are no error. Only the three columns are read.
+
+    A list that fits is broadcast. Else it is first asked for the different pairs of pattern and day, which a pattern that very many captures share makes few of, and its
+    answers, stored, are joined to the captures; that join's large keys are split as skewed.
     """
     held = intervals(entries)
     rows = captures.select("page_id", "url", "fetched")
-    asked = rows.where("url is not null and fetched is not null").distinct().select("page_id", "url", "fetched", F.explode(patterns(F.col("url"))).alias("pattern"))
-    if held.count() <= MOST_BROADCAST:
-        pairs = asked.join(F.broadcast(held), "pattern")
-    else:
-        salted = held.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        pairs = asked.withColumn("salt", F.pmod(F.xxhash64("page_id", "url", "fetched"), F.lit(SALTS)).cast("int")).join(salted, ["pattern", "salt"])
-    active = pairs.where("since <= fetched and fetched < until")
+    asked = rows.where("url is not null and fetched is not null").distinct().select("page_id", "url", "fetched", F.explode(patterns(F.col("url"), *_lengths(held))).alias("pattern"))
     best = F.min_by(F.struct("list_name", "pattern", "since"), F.struct(-F.length("pattern"), "list_name", "pattern"))
+    if fits(held):
+        active = asked.join(F.broadcast(held), "pattern").where("since <= fetched and fetched < until")
+    else:
+        pairs = asked.select("pattern", "fetched").distinct().join(held, "pattern").where("since <= fetched and fetched < until")
+        answers = stored(pairs.groupBy(F.col("pattern").alias("_pattern"), F.col("fetched").alias("_fetched")).agg(best.alias("_hit")), "answers")
+        found = asked.join(answers, (F.col("pattern") == F.col("_pattern")) & (F.col("fetched") == F.col("_fetched")))
+        active = found.select("page_id", "url", "fetched", "_hit.list_name", "_hit.pattern", "_hit.since")
     hits = active.groupBy(F.col("page_id").alias("_page"), F.col("url").alias("_url"), F.col("fetched").alias("_day")).agg(best.alias("_hit"))
     same = F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("url") == F.col("_url")) & (F.col("fetched") == F.col("_day"))
     return rows.join(hits, same, "left").select("page_id", "url", "fetched", F.col("_hit").isNotNull().alias("blocked"), "_hit.list_name", "_hit.pattern", "_hit.since")
