@@ -9,10 +9,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import read
-
-#: Digests up to which the known table is broadcast (about 100 MB); beyond, the join shuffles both sides.
-MOST_BROADCAST = 500_000
+from corpuslens.llm.common import fits, read, stored
 
 # Spellings that count as equal, after lower-casing and removal of punctuation.
 SPELLINGS = (
@@ -91,9 +88,19 @@ def unheld(text: Column) -> Column:
 
 
 def known_digests(licences: DataFrame) -> DataFrame:
-    """(digest, license_id) of known texts (license_id, text), with and without lines that name a holder: one row per digest, the least identifier."""
-    made = F.explode(F.array(digest(F.col("text")), unheld(F.col("text"))))
-    return licences.select("license_id", made.alias("digest")).where("digest is not null and license_id is not null").groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    """(digest, license_id, word) of known texts (license_id, text), with and without lines that name a holder: one row per digest, the least identifier; word is the first one of the canonical text."""
+    bare = F.when(unheld(F.col("text")).isNotNull(), canonical(F.regexp_replace("text", _HOLDER, "")))
+    made = licences.select("license_id", F.explode(F.array(canonical(F.col("text")), bare)).alias("made")).where("made <> '' and license_id is not null")
+    return made.select("license_id", F.sha2(F.col("made").cast("binary"), 256).alias("digest"), F.substring_index("made", " ", 1).alias("word")).groupBy("digest").agg(F.min("license_id").alias("license_id"), F.min("word").alias("word"))
+
+
+def first_words(words: list[str]) -> list[str]:
+    """Words that a text may begin with if its canonical text begins with one of these."""
+    found, before = set(words), -1
+    while len(found) > before:
+        before = len(found)
+        found |= {a.split()[0] for a, b in SPELLINGS if b.split()[0] in found}
+    return sorted(found)
 
 
 def scan(docs: DataFrame, licences: DataFrame) -> DataFrame:
@@ -102,20 +109,25 @@ def scan(docs: DataFrame, licences: DataFrame) -> DataFrame:
     license_id tells of a document whose entire text is a known licence (null if it isn't), be it only without the lines that name a
     holder; digest is that of the text with such lines, unless they hold a year. notices the known licences or notices that
     entire lines of it are (sorted, each once). Null, empty and wordless texts have no digest and match nothing. Repeated rows and
-    rows without doc_id stay; an empty table on either side is no error; other columns are ignored. A line's digest is looked up, so the work
-    is in proportion to the text.
+    rows without doc_id stay; an empty table on either side is no error; other columns are ignored.
+
+    Texts are read once: digests of whole texts and of lines are stored and then joined with the known ones. A line is put in its canonical form only if its
+    first word begins a known text. What the driver gets of the known texts is their different first words.
     """
     known = known_digests(licences)
-    lookup = (lambda df: F.broadcast(df)) if known.count() <= MOST_BROADCAST else (lambda df: df)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), digest(F.col("text")).alias("digest"), F.xxhash64("text").alias("_text"), unheld(F.col("text")).alias("_unheld"))
-    lines = rows.select("doc_id", "_text", F.explode(F.array_distinct(F.split("text", r"\R"))).alias("line")).where("line <> ''")
-    found = lines.select("doc_id", "_text", digest(F.col("line")).alias("digest")).join(lookup(known), "digest")
-    notices = found.groupBy(F.col("doc_id").alias("_doc"), F.col("_text").alias("_hash")).agg(F.sort_array(F.collect_set("license_id")).alias("notices"))
-    bare = known.select(F.col("digest").alias("_bare"), F.col("license_id").alias("_license"))
+    few = (lambda df: F.broadcast(df)) if fits(known) else (lambda df: df)
+    begins = first_words([r.word for r in known.select("word").distinct().collect()])
+    first = lambda line: F.lower(F.regexp_extract(line, r"^[^\p{L}\p{N}]*([\p{L}\p{N}]+)", 1))
+    lines = F.filter(F.array_distinct(F.split("text", r"\R")), lambda line: first(line).isin(begins) if begins else F.lit(False))
+    digests = F.filter(F.transform(lines, digest), lambda x: x.isNotNull())
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = stored(text.select(F.monotonically_increasing_id().alias("_row"), "doc_id", digest(F.col("text")).alias("digest"), unheld(F.col("text")).alias("_unheld"), F.when(F.size(digests) > 0, digests).alias("_lines")), "digests")
+    found = rows.where("_lines is not null").select(F.col("_row").alias("_of"), F.explode("_lines").alias("digest")).join(few(known.select("digest", "license_id")), "digest")
+    notices = found.groupBy("_of").agg(F.sort_array(F.collect_set("license_id")).alias("notices"))
+    named, bare = known.select("digest", "license_id"), known.select(F.col("digest").alias("_bare"), F.col("license_id").alias("_license"))
     # Most texts have no second digest; their first one stands in, so that they spread over the tasks of a shuffled join.
-    whole = rows.drop("text").join(lookup(known), "digest", "left").join(lookup(bare), F.coalesce("_unheld", "digest") == F.col("_bare"), "left").withColumn("license_id", F.coalesce("license_id", "_license"))
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_text") == F.col("_hash"))
-    return whole.join(notices, same, "left").select("doc_id", "digest", "license_id", F.coalesce("notices", F.array().cast("array<string>")).alias("notices"))
+    whole = rows.join(few(named), "digest", "left").join(few(bare), F.coalesce("_unheld", "digest") == F.col("_bare"), "left").withColumn("license_id", F.coalesce("license_id", "_license"))
+    return whole.join(notices, F.col("_row") == F.col("_of"), "left").select("doc_id", "digest", "license_id", F.coalesce("notices", F.array().cast("array<string>")).alias("notices"))
 
 
 def published() -> list[tuple[str, str]]:
