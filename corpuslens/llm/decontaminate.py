@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import read, stored
+from corpuslens.llm.common import fits, read, stored
 
 SHINGLE_WORDS = 5
 MIN_CONTAINMENT = 0.8
@@ -15,8 +15,6 @@ MIN_CONTAINMENT = 0.8
 MISS = 1e-6
 #: Items of at least this many distinct shingles take two MinHash values a band, smaller ones a single one.
 LARGE_ITEM = 64
-#: Rows of a lookup table up to which it is broadcast (about 50 MB); beyond, the join shuffles both sides.
-MOST_BROADCAST = 1_000_000
 
 
 def words(text: Column) -> Column:
@@ -69,8 +67,8 @@ def item_bands(sh: DataFrame) -> DataFrame:
 
 
 def _lookup(df: DataFrame) -> DataFrame:
-    """df, to be broadcast if it is small enough."""
-    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
+    """df, to be broadcast if it fits; beyond, the join shuffles both sides and large keys are split as skewed."""
+    return F.broadcast(df) if fits(df) else df
 
 
 def contained(docs: DataFrame, items: DataFrame, min_containment: float = MIN_CONTAINMENT) -> DataFrame:
@@ -79,7 +77,8 @@ def contained(docs: DataFrame, items: DataFrame, min_containment: float = MIN_CO
     Items are partitioned by size. An item's signature is its MinHash values under as many permutations as its partition
     needs; a document is asked for them among all of its shingles, as the chance that a set holds another's MinHash is the
     other's containment in it, however long the document is (a document's own short signature would be blind to an
-    item a thousandth of its size). Documents that hold a band are candidates; whose shingles are then compared as texts.
+    item a thousandth of its size). Documents that hold a band are candidates. Each candidate pair then asks for the item's shingles, as texts, among those of its
+    document that any item has: a shingle that many items share is compared for the pairs that are candidates only.
 
     Words are lower-case runs of letters and digits. Wordless items and documents match nothing; an item of fewer words than five is
     one shorter shingle. Rows that share a doc_id or item_id count as one whose shingles they share. Rows with null ids are left out of the pairs.
@@ -101,15 +100,20 @@ def contained(docs: DataFrame, items: DataFrame, min_containment: float = MIN_CO
     hits = held.join(_lookup(signature), "hash").groupBy("doc_id", "item_id", "band", "rows").agg(F.count_distinct("hash").alias("n"))
     candidates = stored(hits.where("n >= rows").select("doc_id", "item_id").distinct(), "candidates")
     asked = docs.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", words(F.col("text")).alias("w"))
-    exact = asked.select("doc_id", F.explode(F.array_distinct(of_all(_text))).alias("shingle"))
-    shared = exact.join(_lookup(sh.select("shingle", "item_id", "size")), "shingle").groupBy("doc_id", "item_id", "size").agg(F.count_distinct("shingle").alias("n_shared"))
+    any_item = sh.select("shingle").distinct()
+    exact = asked.select("doc_id", F.explode(F.array_distinct(of_all(_text))).alias("shingle")).join(_lookup(any_item), "shingle", "left_semi").distinct()
+    wanted = candidates.join(_lookup(sh.select("item_id", "shingle", "size")), "item_id")
+    shared = wanted.join(exact, ["doc_id", "shingle"]).groupBy("doc_id", "item_id", "size").agg(F.count("*").alias("n_shared"))
     part = (F.col("n_shared") / F.col("size")).alias("containment")
-    sure = shared.select("doc_id", "item_id", "n_shared", F.col("size").alias("item_size"), part).where(F.col("containment") >= min_containment)
-    return sure.join(candidates, ["doc_id", "item_id"], "left_semi")
+    return shared.select("doc_id", "item_id", "n_shared", F.col("size").alias("item_size"), part).where(F.col("containment") >= min_containment)
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, min_containment: float = MIN_CONTAINMENT) -> DataFrame:
-    """docs without rows that contain a benchmark item. Each row counts by itself: those without doc_id, or with a shared one, are told apart by a hash of doc_id and text."""
+    """docs without rows that contain a benchmark item, with all their columns.
+
+    Each row counts by itself: those without doc_id, or with a shared one, are told apart by a hash of doc_id and text; repeated rows go or stay alike. Null, empty and
+    wordless texts stay; so does everything if items is empty. Items without item_id or words match nothing. Columns may have any name but _leak.
+    """
     row = F.xxhash64(docs.doc_id.cast("long"), docs.text.cast("string"))
     found = stored(contained(docs.select(row.alias("doc_id"), "text"), items, min_containment).select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
     return docs.join(found, row == F.col("_leak"), "left_anti")
