@@ -11,8 +11,8 @@ from corpuslens.llm.common import partitions, read
 SHINGLE_WORDS = 5
 #: Hashes that a sketch keeps: an estimate of resemblance has a standard error of 1 / (2 * sqrt(SKETCH)) at most.
 SKETCH = 256
-#: Ranges of doc_id that documents are sorted in, at most; their bounds are collected.
-MOST_RANGES = 4096
+#: Ranges of doc_id that documents are sorted in, for each shuffle partition of the session; their bounds (some 40 bytes each) go to the driver.
+RANGES = 4
 _MASK = (1 << 63) - 1
 _SPACE = " \t\n\x0b\f\r"
 
@@ -79,28 +79,30 @@ def written(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
 
 
-def _ranges(keys: DataFrame, most: int) -> list[int]:
-    """Least key of each of at most `most` ranges of about equal size, ascending."""
-    dealt = keys.repartitionByRange(most, "key").select(F.spark_partition_id().alias("range"), "key")
-    return sorted(r[0] for r in dealt.groupBy("range").agg(F.min("key")).select("min(key)").collect())
+def _ranges(keys: DataFrame, many: int) -> list[tuple[int, int]]:
+    """Least (key, tie) of each of about `many` ranges of about equal size, ascending."""
+    dealt = keys.repartitionByRange(many, "key", "tie").select(F.spark_partition_id().alias("range"), F.struct("key", "tie").alias("at"))
+    return sorted((r.least.key, r.least.tie) for r in dealt.groupBy("range").agg(F.min("at").alias("least")).collect())
 
 
 def with_next(docs: DataFrame, ranges: int) -> tuple[DataFrame, Window]:
-    """Rows (doc_id, key, text, real) dealt out in ranges of doc_id, and the window that orders each range.
+    """Rows (doc_id, key, tie, text, real) dealt out in ranges of (doc_id, hash of the text), and the window that orders each range.
 
     Each range also gets a copy (real = false) of the first row of the next one, the last range of the first row of all, so that
-    lead() finds every row's successor in its own range: one shuffle of the texts, no task that sees all rows.
+    lead() finds every row's successor in its own range: one shuffle of the texts, no task that sees all rows. Rows without a doc_id are
+    dealt by their hash.
     """
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    least = _ranges(keyed.select("key"), ranges) or [0]
-    bounds = F.split(F.lit(",".join(map(str, least))), ",").cast("array<bigint>")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("key"), text.alias("text")).withColumn("tie", F.xxhash64("text"))
+    least = _ranges(keyed.select("key", "tie"), ranges) or [(0, 0)]
+    bounds, ties = (F.split(F.lit(",".join(str(x[n]) for x in least)), ",").cast("array<bigint>") for n in (0, 1))
     steps = F.array(*[F.lit(1 << b) for b in range(len(least).bit_length() - 1, -1, -1)])
-    ranked = keyed.withColumn("range", F.aggregate(steps, F.lit(0), lambda lo, s: F.when(F.get(bounds, lo + s) <= F.col("key"), lo + s).otherwise(lo)))
+    reached = lambda at: (F.get(bounds, at) < F.col("key")) | ((F.get(bounds, at) == F.col("key")) & (F.get(ties, at) <= F.col("tie")))
+    ranked = keyed.withColumn("range", F.aggregate(steps, F.lit(0), lambda lo, s: F.when(reached(lo + s), lo + s).otherwise(lo)))
     here = F.struct("range", F.lit(0).alias("wrap"), F.lit(True).alias("real"))
     before = F.struct(F.when(F.col("range") == 0, F.lit(len(least) - 1)).otherwise(F.col("range") - 1).alias("range"), (F.col("range") == 0).cast("int").alias("wrap"), F.lit(False).alias("real"))
-    first = F.get(bounds, F.col("range")) == F.col("key")
-    rows = ranked.select("doc_id", "key", "text", F.explode(F.when(first, F.array(here, before)).otherwise(F.array(here))).alias("p")).select("doc_id", "key", "text", "p.*")
-    rows = rows.withColumn("tie", F.xxhash64("text"))
+    first = (F.get(bounds, F.col("range")) == F.col("key")) & (F.get(ties, F.col("range")) == F.col("tie"))
+    rows = ranked.select("doc_id", "key", "tie", "text", F.explode(F.when(first, F.array(here, before)).otherwise(F.array(here))).alias("p")).select("doc_id", "key", "tie", "text", "p.*")
     return rows, Window.partitionBy("range").orderBy("wrap", "key", "tie", F.desc("real"))
 
 
@@ -110,8 +112,7 @@ def neighbours(docs: DataFrame, k: int = SKETCH) -> DataFrame:
     Null texts count as empty. Rows that share a doc_id follow each other in the order of a hash of their text; rows without
     doc_id come first. A single row is its own successor, an empty table gives no rows, other columns are ignored.
     """
-    ranges = min(MOST_RANGES, 4 * partitions(docs.sparkSession))
-    rows, order = with_next(docs, ranges)
+    rows, order = with_next(docs, RANGES * partitions(docs.sparkSession))
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring(F.lead("text").over(order), F.lit(1), half))
     both = rows.withColumn("edited", F.coalesce(edited, F.lit("")))
