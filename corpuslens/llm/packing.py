@@ -22,8 +22,8 @@ END_ID = 1
 BLOCK_TOKENS = 4_000_000
 #: Estimated cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n (attention within the piece).
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
-#: Chunks of text whose ids a worker remembers at a time.
-REMEMBERED = 300_000
+#: Bytes of chunks and their ids that a worker remembers at a time, and of a chunk that is worth it.
+REMEMBERED, WORTH = 32 << 20, 256
 _ODD_SPACE = re.compile(r"\s ")
 
 
@@ -45,11 +45,16 @@ class Encoder:
             ranks = _ranks(json.load(open(vocabulary, encoding="utf-8")))
         self.encode = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def _chunk(self, chunk: str) -> bytes:
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        ids = self.known[chunk] = np.array(self.encode(" " + chunk), "<u4").tobytes()
+        ids = np.array(self.encode(" " + chunk), "<u4").tobytes()
+        if len(chunk) <= WORTH:
+            if self.held >= REMEMBERED:
+                self.known.clear()
+                self.held = 0
+            self.known[chunk] = ids
+            self.held += 250 + 4 * len(chunk) + len(ids)  # with what Python adds to a string, bytes and a dictionary's entry
         return ids
 
     def __call__(self, text: str) -> bytes:
@@ -158,7 +163,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = END_ID, most: int = SEQ
     """A row per piece of docs (doc_id, text): PIECE, and the piece's ids if with_ids.
 
     Documents are packed where they are read, block by block, without a shuffle; a sequence's id holds its input
-    partition. Null and empty texts give the end id alone, repeated rows are packed each, ties go by
+    partition, so sequences follow how the input is dealt out. Null and empty texts give the end id alone, repeated rows are packed each, ties go by
     doc_id, an empty table gives no rows, other columns are ignored. Every sequence is full, so no padding is left.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
