@@ -59,12 +59,19 @@ def train(examples: list[tuple[np.ndarray, int, float]]) -> tuple[np.ndarray, np
     return np.concatenate([[0], found]), np.concatenate([[start], weights(found)])
 
 
+def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Features of the sampled texts, where these are read: the one task that learns gets numbers."""
+    for batch in batches:
+        made = [np.unique(features(text)).astype("<i4").tobytes() for text in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary()), batch.column(2)], names=["doc_id", "features", "toxic"])
+
+
 def _learn(weight: dict[int, float]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [(doc, np.unique(features(text)).astype(np.int32), label) for batch in batches for doc, text, label in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-        rows.sort(key=lambda x: (x[0], len(x[1])))
+        rows = [row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+        rows.sort(key=lambda x: (x[0], len(x[1]), x[1]))
         if rows:
-            at, w = train([(f, int(label), weight[int(label)]) for _, f, label in rows])
+            at, w = train([(np.frombuffer(f, "<i4"), int(label), weight[int(label)]) for _, f, label in rows])
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w)], names=["feature", "weight"])
 
     return run
@@ -99,7 +106,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Weights learnt from labelled rows of docs; (empty, empty) without any. The sample is bounded, and so is what comes back."""
     picked = sample(labels).withColumnRenamed("doc_id", "_id")
     rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select("doc_id", F.col("text").cast("string"), "toxic")
-    found = map_arrow(rows.repartition(1), _learn(class_weights(labels)), "feature long, weight double").toArrow()
+    featured = map_arrow(rows, _featured, "doc_id long, features binary, toxic int")
+    found = map_arrow(featured.repartition(1), _learn(class_weights(labels)), "feature long, weight double").toArrow()
     return found["feature"].to_numpy(), found["weight"].to_numpy()
 
 
@@ -143,7 +151,11 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of docs whose score is below 0.5, with all columns; texts are scored as rows pass, so nothing is joined."""
+    """Rows of docs whose score is below 0.5, with all columns, whatever their names; texts are scored as rows pass, so nothing is joined.
+
+    Null and empty texts get the intercept's score and so stay, unless most labels are toxic. Rows without doc_id and repeated rows are scored each; without
+    labelled rows all stay; an empty table gives no rows.
+    """
     sent, at = docs.sparkSession.sparkContext.broadcast(fit(docs, labels)), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
