@@ -26,6 +26,8 @@ BINS = 1024
 #: Labelled rows whose crc32 of doc_id modulo this is 0 calibrate the views and aren't learnt from.
 FOLDS = 4
 SOURCES, LANGUAGES, WORDS = 32, 8, 128
+#: Rows whose views are held as a matrix at a time.
+ROWS = 1024
 #: A word's share is kept in steps of 1 / STEPS of the logarithm, as a byte.
 STEPS = 32
 
@@ -89,11 +91,16 @@ def views(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def matrix(x: pa.Array, held: pa.Array) -> np.ndarray:
-    """Rows of measures from the columns x and words."""
-    plain = x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), len(STYLE) + 4)
-    shares = np.frombuffer(b"".join(held.to_pylist()), np.uint8).reshape(len(x), WORDS)
-    return np.hstack([plain, shares / (STEPS * 10)])
+def packed(plain: list[float], held: bytes) -> bytes:
+    """A row of measures: STYLE and metadata as doubles, then words."""
+    return np.array(plain, "<f8").tobytes() + held
+
+
+def matrix(x: pa.Array) -> np.ndarray:
+    """Rows of measures from packed()."""
+    k = 8 * (len(STYLE) + 4)
+    raw = np.frombuffer(b"".join(x.to_pylist()), np.uint8).reshape(len(x), k + WORDS)
+    return np.hstack([np.ascontiguousarray(raw[:, :k]).view("<f8"), raw[:, k:] / (STEPS * 10)])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1.0, steps: int = 25) -> np.ndarray:
@@ -176,6 +183,13 @@ def _newton(x: np.ndarray, y: np.ndarray, weight: float, w: np.ndarray) -> np.nd
     return np.concatenate([[weight * (np.logaddexp(0, o) - y * o).sum()], weight * (x.T @ (p - y)), curve.ravel()])
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ROWS rows, none empty."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def _summed(rows: DataFrame, made: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray | None:
     """The sum of made(x, draw, y) over all rows; None of no rows. Each task sums its rows, then about the square root of as many tasks sum those sums, so
     that the driver gets few arrays however many tasks there are."""
@@ -186,10 +200,9 @@ def _summed(rows: DataFrame, made: Callable[[np.ndarray, np.ndarray, np.ndarray]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
-        for batch in batches:
-            if batch.num_rows:
-                part = made(matrix(batch.column(0), batch.column(1)), batch.column(2).to_numpy(zero_copy_only=False), batch.column(3).to_numpy(zero_copy_only=False))
-                total = part if total is None else total + part
+        for batch in slices(batches):
+            part = made(matrix(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False))
+            total = part if total is None else total + part
         yield from told(total)
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +213,7 @@ def _summed(rows: DataFrame, made: Callable[[np.ndarray, np.ndarray, np.ndarray]
                 total = part if total is None else total + part
         yield from told(total)
 
-    sums = map_arrow(rows.select("x", "words", "draw", "y"), run, "total array<double>")
+    sums = map_arrow(rows.select("x", "draw", "y"), run, "total array<double>")
     tasks = rows.rdd.getNumPartitions()
     if tasks > 64:
         sums = map_arrow(sums.repartition(math.isqrt(tasks)), again, "total array<double>")
@@ -244,7 +257,7 @@ def _fitted(rows: DataFrame, model: dict, known: list[tuple[np.ndarray, np.ndarr
 
 
 def train(rows: DataFrame, x: np.ndarray, y: np.ndarray, fold: np.ndarray, rounds: int = ROUNDS) -> dict:
-    """The model of rows (x, words, draw, y; y is -1 without a label) and of the labelled sample x, y, of which fold 0 calibrates.
+    """The model of rows (x, draw, y; y is -1 without a label) and of the labelled sample x, y, of which fold 0 calibrates.
 
     Mean and scale are those of all rows. In each round every row without a label is scored where it lies, the surest are found by
     counts and the views fitted by sums; what comes to the driver is some thousand numbers a task.
@@ -289,29 +302,29 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         doc, text, source, lang, n_chars = (c.to_pylist() for c in batch.columns)
         made = [style(t) + metadata(s, g, n) for t, s, g, n in zip(text, source, lang, n_chars, strict=True)]
-        held = [words(t) for t in text]
-        draw = [zlib.crc32(repr((d, x)).encode() + w) / 2**32 for d, x, w in zip(doc, made, held, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.float64())), pa.array(held, pa.binary()), pa.array(draw, pa.float64())], names=["doc_id", "x", "words", "draw"])
+        rows = [packed(x, words(t)) for x, t in zip(made, text, strict=True)]
+        draw = [zlib.crc32(repr(d).encode() + x) / 2**32 for d, x in zip(doc, rows, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary()), pa.array(draw, pa.float64())], names=["doc_id", "x", "draw"])
 
 
 def measured(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, x, words, draw, y) for each row of docs, stored: its measures, a number of [0, 1) by which ties are parted, and its label: -1 for none, -2 for one beyond the sample."""
+    """(doc_id, x, draw, y) for each row of docs, stored: its measures, a number of [0, 1) by which ties are parted, and its label: -1 for none, -2 for one beyond the sample."""
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min((F.col("quality") == 1).cast("int")).alias("quality"))
     sample = known.orderBy(F.xxhash64("_id"), "_id").limit(MOST_LABELLED).select("_id", F.lit(True).alias("_in"))
     marks = known.join(F.broadcast(sample), "_id", "left").select("_id", F.when(F.col("_in"), F.col("quality")).otherwise(-2).alias("y"))
-    rows = map_arrow(docs.select(*_columns(docs)), _measured, "doc_id long, x array<double>, words binary, draw double")
+    rows = map_arrow(docs.select(*_columns(docs)), _measured, "doc_id long, x binary, draw double")
     # Rows without doc_id have no label; a hash spreads them over the tasks.
     same = (F.coalesce("doc_id", F.xxhash64("draw")) == F.col("_id")) & F.col("doc_id").isNotNull()
-    return stored(rows.join(marks.hint("merge"), same, "left").select("doc_id", "x", "words", "draw", F.coalesce("y", F.lit(-1)).alias("y")), "measures")
+    return stored(rows.join(marks.hint("merge"), same, "left").select("doc_id", "x", "draw", F.coalesce("y", F.lit(-1)).alias("y")), "measures")
 
 
 def fit(rows: DataFrame) -> dict | None:
     """The model learnt from measured rows: those of the labelled sample and all without a label; None without two classes of labels."""
-    found = rows.where("y >= 0").select("doc_id", "y", "x", "words").toArrow().combine_chunks()
+    found = rows.where("y >= 0").select("doc_id", "y", "x").toArrow().combine_chunks()
     ids, y = found["doc_id"].to_pylist(), found["y"].to_numpy()
     if not {0, 1} <= set(y.tolist()):
         return None
-    x = matrix(found["x"].combine_chunks(), found["words"].combine_chunks())
+    x = matrix(found["x"])
     at = sorted(range(len(ids)), key=lambda i: (ids[i], x[i].tolist()))
     fold = np.array([zlib.crc32(str(ids[i]).encode()) % FOLDS for i in at])
     return train(rows, x[at], y[at], fold)
@@ -330,12 +343,12 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        for batch in batches:
+        for batch in slices(batches):
             n = batch.num_rows
-            s = score(model, matrix(batch.column(1), batch.column(2))) if model and n else np.full((n, 3), 0.5)
+            s = score(model, matrix(batch.column(1))) if model else np.full((n, 3), 0.5)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(s[:, k]) for k in range(3))], names=["doc_id", "text_score", "meta_score", "score"])
 
-    found = map_arrow(rows.select("doc_id", "x", "words"), run, "doc_id long, text_score double, meta_score double, score double")
+    found = map_arrow(rows.select("doc_id", "x"), run, "doc_id long, text_score double, meta_score double, score double")
     return found.withColumn("keep", F.col("score") >= 0.5)
 
 

@@ -25,6 +25,8 @@ BLOCK = 1 << 14
 GENERATOR = 0b110001110101
 #: The fingerprint's segments as (shift, bits); each is padded with zeros to 23 bits.
 SEGMENTS = ((42, 22), (21, 21), (0, 21))
+#: Values whose keys are made at a time; each has about 119.
+KEYED = 1024
 #: Values of a key up to which all its pairs are looked at.
 FEW = 8
 #: Values of a key that a task holds at most (8 bytes each).
@@ -139,8 +141,9 @@ def exact_keys(fps: np.ndarray) -> Iterator[np.ndarray]:
 def _golay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     nearest, near = coset_table(3), coset_table(4)
     for batch in batches:
-        fps = batch.column(0).to_numpy()
-        if len(fps):
+        every = batch.column(0).to_numpy()
+        for at in range(0, len(every), KEYED):
+            fps = every[at : at + KEYED]
             rows, keys = golay_keys(fps.view(np.uint64), nearest, near)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fps[rows])], names=["key", "fp"])
 

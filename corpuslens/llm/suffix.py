@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import drop, map_arrow, mix, neighbours, read, stored
+from corpuslens.llm.common import map_arrow, mix, neighbours, read, stored
 
 #: A passage is repeated if this many words of it are.
 MIN_WORDS = 50
@@ -19,6 +19,7 @@ KEY_WORDS = 25
 #: The order key of rows without doc_id: they come after all others.
 LAST = (1 << 63) - 1
 
+_LONG = (1 << 64) - 1
 #: Multipliers of two independent hashes of word sequences; odd, so that they have an inverse modulo 2**64.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -87,20 +88,20 @@ def places(text: str, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return points[np.flatnonzero(step == 1)], points[np.flatnonzero(step == -1)]
 
 
-EXTENDED = "passage long, check long, row_id long, tie long, word int, stop_word int, start int, stop int, followed boolean"
+EXTENDED = "passage long, check long, row_id long, tie long, word int, more int, start int, chars int, run boolean, kept boolean"
 
 
 def _extended(min_words: int, key_words: int):
     """Each retained suffix that is shared, extended left and right to the passages of min_words words that hold it.
 
-    Where another row with the same words all around comes first, its passages are copies: they come out as runs (passage null). Else
-    each passage comes out by its two hashes, to be compared with those of other suffixes that start alike.
+    Where another row with the same words all around comes first, its passages are copies: they come out as runs, whose hashes are those of their place. Else
+    each passage comes out by its two hashes, to be compared with those of other suffixes that start alike. more counts the words beyond min_words; kept tells of
+    runs and of passages that others are known to repeat.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made: list[list[np.ndarray]] = [[] for _ in range(9)]
-            whole: list[np.ndarray] = []
+            made: list[list[np.ndarray]] = [[] for _ in range(10)]
             for ident, tie, text, shared in zip(batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 words, h = word_hashes(text)
                 if len(h) < min_words:
@@ -115,18 +116,17 @@ def _extended(min_words: int, key_words: int):
                 starts, stops = copies[::2], copies[1::2] + min_words - 1
                 own = np.flatnonzero(of_window > 1)
                 word, stop = np.concatenate([starts, own]), np.concatenate([stops, own + min_words])
-                n, none = len(word), np.zeros(len(starts), np.uint64)
+                place = mix(mix(starts.astype(np.uint64) ^ np.uint64(int(ident) & _LONG)) ^ np.uint64(int(tie) & _LONG))
+                is_run = np.arange(len(word)) < len(starts)
                 cols = (
-                    np.concatenate([none, seq.of(own, own + min_words)]).view(np.int64), np.concatenate([none, Sequences(h, BASES[1]).of(own, own + min_words)]).view(np.int64), np.full(n, ident), np.full(n, tie),
-                    word.astype(np.int32), stop.astype(np.int32), first[word].astype(np.int32), last[stop - 1].astype(np.int32), np.concatenate([np.ones(len(starts), bool), of_window[own] == 3]),
+                    np.concatenate([place, seq.of(own, own + min_words)]).view(np.int64), np.concatenate([~place, Sequences(h, BASES[1]).of(own, own + min_words)]).view(np.int64),
+                    np.full(len(word), ident), np.full(len(word), tie), word.astype(np.int32), (stop - word - min_words).astype(np.int32),
+                    first[word].astype(np.int32), (last[stop - 1] - first[word]).astype(np.int32), is_run, is_run | np.concatenate([np.ones(len(starts), bool), of_window[own] == 3]),
                 )
                 for x, y in zip(made, cols, strict=True):
                     x.append(y)
-                whole.append(np.arange(n) < len(starts))
-            if whole:
-                is_run = np.concatenate(whole)
-                cols = [np.concatenate(x) for x in made]
-                yield pa.RecordBatch.from_arrays([pa.array(c, mask=is_run) if k < 2 else pa.array(c) for k, c in enumerate(cols)], names=[x.split()[0] for x in EXTENDED.split(", ")])
+            if made[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in made], names=[x.split()[0] for x in EXTENDED.split(", ")])
 
     return run
 
@@ -167,11 +167,10 @@ def spans(docs: DataFrame, min_words: int = MIN_WORDS, key_words: int = KEY_WORD
     shared = sorted_suffixes.groupBy("row_id", "tie").agg(F.collect_list(F.struct("at", F.col("leads1").alias("leads"), F.col("matched1").alias("matched"))).alias("shared"))
     # What is shared grows with the corpus: it is shuffled at every size, not broadcast while it happens to be little.
     wanted = keyed.join(shared.hint("merge"), ["row_id", "tie"]).select("row_id", "tie", "text", "shared")
-    extended = stored(map_arrow(wanted, _extended(min_words, key_words), EXTENDED), "extended")
-    passages = neighbours(extended.where("passage is not null"), [["passage", "check"]], ["row_id", "tie", "word"], "passages", always="followed")
-    copies = extended.where("passage is null").withColumn("is_copy", F.lit(True))
-    cols = ["row_id", "tie", F.struct("word", "stop_word", "start", "stop", "is_copy").alias("found")]
-    found = passages.withColumn("is_copy", ~F.col("leads0")).select(*cols).unionByName(copies.select(*cols))
+    extended = map_arrow(wanted, _extended(min_words, key_words), EXTENDED)
+    passages = neighbours(extended, [["passage", "check"]], ["row_id", "tie", "word"], "passages", always="kept")
+    is_copy = (F.col("run") | ~F.col("leads0")).alias("is_copy")
+    found = passages.select("row_id", "tie", F.struct("word", (F.col("word") + min_words + F.col("more")).alias("stop_word"), "start", (F.col("start") + F.col("chars")).alias("stop"), is_copy).alias("found"))
     by_row = found.groupBy("row_id", "tie").agg(F.collect_set("found").alias("found"))
     return map_arrow(by_row, _merged, "row_id long, tie long, is_copy boolean, word int, stop_word int, start int, stop int")
 
