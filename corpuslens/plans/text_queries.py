@@ -94,7 +94,7 @@ def verse_route(spark, sf_dir):
     return spark.sql(f"SELECT * FROM {_VERSES}").select("verse_key", V.book("verse_key").alias("book"), V.verse_split("verse_key").alias("split"))
 
 
-_CITED = "(VALUES (1, 'g_Batibo[244-249];30800'), (2, ' a ; b[12-14];a'), (3, ''), (4, ';;'), (5, 'x[1][2]')) v(id, source)"
+_CITED = "(VALUES (1, 'h_Ort[11-19];5501'), (2, ' a ; b[12-14];a'), (3, ''), (4, ';;'), (5, 'x[1][2]')) v(id, source)"
 
 
 @query(rf"SELECT id, unnest(list_distinct(list_filter(list_transform(string_split(source, ';'), lambda s: regexp_replace(trim(s), '\[.*?\]$', '')), lambda s: s <> ''))) AS key FROM {_CITED}")

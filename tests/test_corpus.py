@@ -62,7 +62,7 @@ def test_rates(spark):
 
 
 def test_score_levels(spark):
-    df = spark.createDataFrame([("Wandījo, kūseema", "wandijo kuseema")], "ref string, hyp string")
+    df = spark.createDataFrame([("Solēmi, pōraati", "solemi poraati")], "ref string, hyp string")
     got = {r.level: r for r in scoring.score_levels(df).collect()}
     assert got["strict"].wer == 1.0 and got["diacritic_blind"].wer == 0.0 and got["strict"].cer > got["normalized"].cer > 0
 
@@ -162,25 +162,25 @@ def test_splits_and_leakage(spark):
 
 
 def test_restorer(spark):
-    train = corpus(spark, ["wandījo kūseema.", "Kūseema wandījo wandijo", "plain words only", "wandījo wandījo banhū"])
+    train = corpus(spark, ["solēmi pōraati.", "Pōraati solēmi solemi", "plain words only", "solēmi solēmi dimlū"])
     pairs = restore.plain_pairs(train)
     w, b, c = restore.fit_words(pairs), restore.fit_bigrams(pairs), restore.fit_chars(pairs)
-    assert {(r.key, r.form): r.n for r in w.collect()}[("wandijo", "wandījo")] == 4
+    assert {(r.key, r.form): r.n for r in w.collect()}[("solemi", "solēmi")] == 4
     assert not w.where("key = 'plain'").count()
-    text = spark.createDataFrame([(0, "Wandijo, KUSEEMA! «wandijo» 12  x-kuseema"), (1, ""), (2, "!?")], "sid long, text string")
+    text = spark.createDataFrame([(0, "Solemi, PORAATI! «solemi» 12  x-poraati"), (1, ""), (2, "!?")], "sid long, text string")
     got = dict(restore.restore(text, w, b, c).collect())
-    assert got == {0: "Wandījo, KŪSEEMA! «wandījo» 12  x-kūseema", 1: "", 2: "!?"}
-    seen = restore.evaluate(corpus(spark, ["kūseema wandījo banhū"]), w, b, c).first()
+    assert got == {0: "Solēmi, PŌRAATI! «solēmi» 12  x-pōraati", 1: "", 2: "!?"}
+    seen = restore.evaluate(corpus(spark, ["pōraati solēmi dimlū"]), w, b, c).first()
     assert (seen.words, seen.word_accuracy, seen.marked_words, seen.unseen_words) == (3, 1.0, 3, 0)
-    new = restore.restore_unseen(spark.createDataFrame([("wandija",), ("xyz",), ("kuse",)], "plain string"), c)
+    new = restore.restore_unseen(spark.createDataFrame([("solema",), ("xyz",), ("pora",)], "plain string"), c)
     made = dict(new.collect())
-    assert made["xyz"] == "xyz" and made["kuse"][:2] == "kū" and made["wandija"].startswith("wandī")
+    assert made["xyz"] == "xyz" and made["pora"][:2] == "kū" and made["solema"].startswith("solē")
 
 
 def test_model_files(spark, tmp_path):
     from corpuslens.sources import writers
 
-    pairs = restore.plain_pairs(corpus(spark, ["wandījo kūseema wandijo"]))
+    pairs = restore.plain_pairs(corpus(spark, ["solēmi pōraati solemi"]))
     parts = restore.fit_words(pairs), restore.fit_bigrams(pairs), restore.fit_chars(pairs)
     writers.save_model(f"{tmp_path}/m", *parts)
     back = writers.load_model(spark, f"{tmp_path}/m")
@@ -217,7 +217,7 @@ def test_token_tax(spark):
 
 
 def test_tokenizer_experiment(spark, tmp_path):
-    docs = corpus(spark, [f"wandījo kūseema mot{i % 7} {'ab' * (i % 5)} nāmba {i % 11}" for i in range(200)])
+    docs = corpus(spark, [f"solēmi pōraati mot{i % 7} {'ab' * (i % 5)} nāmba {i % 11}" for i in range(200)])
     got = tokens.tokenizer_experiment(docs, "doc_id", str(tmp_path), vocab_size=60)
     assert sorted(r.variant for r in got.collect()) == ["with diacritics", "without diacritics"]
 
