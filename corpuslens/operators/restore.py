@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from corpuslens.functions import text as T
 from corpuslens.functions.unicode_tables import LETTER, WORD
+from corpuslens.storage import stored
 
 START = "<s>"
 
@@ -38,12 +39,28 @@ def fit_bigrams(pairs: DataFrame, ordinal: str = "doc_id") -> DataFrame:
 
 def fit_chars(pairs: DataFrame, ordinal: str = "doc_id") -> DataFrame:
     """Counts by context; words are counted first, so that contexts are made once per distinct word."""
-    words = fit_words(pairs, ordinal).select(F.col("key").alias("plain"), F.col("form").alias("word"), F.col("n").alias("m"), "first")
+    return _chars(fit_words(pairs, ordinal), ordinal)
+
+
+def _chars(words: DataFrame, ordinal: str) -> DataFrame:
+    words = words.select(F.col("key").alias("plain"), F.col("form").alias("word"), F.col("n").alias("m"), "first")
     each = words.select("word", "m", "first", F.explode(T.char_contexts("plain")).alias("c"))
     place = F.struct(F.col(f"first.{ordinal}").alias(ordinal), F.col("first.pos").alias("pos"), F.col("c.at").alias("at"))
     return each.groupBy(F.col("c.key").alias("key"), F.substring(F.col("word"), F.col("c.at") + 1, F.lit(1)).alias("form")).agg(F.sum("m").alias("n"), F.min(place).alias("first"))
 
 
+def fit(pairs: DataFrame, ordinal: str = "doc_id") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """words, bigrams and chars of pairs, as by the three functions above, from one pass over the texts.
+
+    Words are counted by their predecessor first; that table, of distinct rows only, is stored and the three are summed from it.
+    """
+    seen = F.min(F.struct(ordinal, "pos")).alias("first")
+    counts = stored(_usable(pairs).groupBy("prev", "plain", "word").agg(F.count("*").alias("n"), seen), "restorer-counts")
+    words = counts.groupBy(F.col("plain").alias("key"), F.col("word").alias("form")).agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    bigrams = counts.select(F.concat_ws(" ", "prev", "plain").alias("key"), F.col("word").alias("form"), "n", "first")
+    return words, bigrams, _chars(words, ordinal)
+
+
 def best(table: DataFrame) -> DataFrame:
     """(key, form, forms): the most counted form of each key, of equals the first seen, and how many forms it has."""
     return table.groupBy("key").agg(F.min_by("form", F.struct(-F.col("n"), "first")).alias("form"), F.count("*").alias("forms"))
@@ -88,13 +105,17 @@ def running_tokens(df: DataFrame, ordinal: str = "sid", text: str = "text") -> D
 
 
 def restore(df: DataFrame, words: DataFrame, bigrams: DataFrame, chars: DataFrame, ordinal: str = "sid", text: str = "text") -> DataFrame:
-    """(ordinal, restored): each text with diacritics put back; spacing, punctuation and case stay as they are."""
+    """(ordinal, restored): each text with diacritics put back; spacing, punctuation and case stay as they are. The model is asked for each distinct (plain, prev) once."""
     pieces = running_tokens(df, ordinal, text)
-    source = restore_words(pieces.where("is_word"), words, bigrams)
+    asked = stored(pieces.where("is_word").select("plain", "prev").distinct(), "restorer-asked")
+    source = restore_words(asked, words, bigrams)
     unseen = restore_unseen(source.where("not known").select("plain"), chars).select("plain", F.col("form").alias("_made"))
-    done = source.join(unseen, "plain", "left").select(ordinal, "at", T.match_case("piece", F.coalesce("form", "_made")).alias("out"))
-    rest = pieces.where("not is_word").select(ordinal, "at", F.col("piece").alias("out"))
-    whole = done.unionByName(rest).groupBy(ordinal).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "out"))), lambda x: x["out"]), "").alias("restored"))
+    forms = source.join(unseen, "plain", "left").select(F.col("plain").alias("_plain"), F.col("prev").alias("_prev"), F.coalesce("form", "_made").alias("_form"))
+    # What is no word has a key of its own that matches nothing, so that it spreads over the tasks.
+    key = F.coalesce("plain", F.concat_ws(" ", F.lit(""), F.col(ordinal).cast("string"), "at"))
+    told = pieces.join(forms, (key == F.col("_plain")) & (F.col("prev") == F.col("_prev")), "left")
+    out = F.when(F.col("is_word"), T.match_case("piece", "_form")).otherwise(F.col("piece"))
+    whole = told.select(ordinal, "at", out.alias("out")).groupBy(ordinal).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "out"))), lambda x: x["out"]), "").alias("restored"))
     return df.select(ordinal).distinct().join(whole, ordinal, "left").select(ordinal, F.coalesce("restored", F.lit("")).alias("restored"))
 
 
@@ -125,7 +146,7 @@ def experiment(runs: dict[str, tuple[DataFrame, DataFrame]], ordinal: str = "doc
     out = None
     for name, (train, test) in runs.items():
         pairs = plain_pairs(train, ordinal, text)
-        row = evaluate(test, fit_words(pairs, ordinal), fit_bigrams(pairs, ordinal), fit_chars(pairs, ordinal), ordinal, text).select(F.lit(name).alias("run"), "*")
+        row = evaluate(test, *fit(pairs, ordinal), ordinal, text).select(F.lit(name).alias("run"), "*")
         out = row if out is None else out.unionByName(row)
     return out
 

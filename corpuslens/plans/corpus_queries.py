@@ -362,7 +362,7 @@ UNION ALL SELECT 'bigrams', key, form, n FROM tb WHERE string_split(key, ' ')[-1
 """)
 def restorer_pruned(spark, sf_dir):
     pairs = _pairs(spark, sf_dir)
-    parts = restore.pruned(restore.fit_words(pairs), restore.fit_bigrams(pairs), restore.fit_chars(pairs), 2)
+    parts = restore.pruned(*restore.fit(pairs), 2)
     rows = [df.select(F.lit(name).alias("part"), "key", "form", "n") for name, df in zip(("words", "bigrams", "chars"), parts, strict=True)]
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
@@ -391,7 +391,7 @@ FROM tokens LEFT JOIN bw ON bw.key = plain LEFT JOIN bb ON bb.key = prev || ' '
 """)
 def restore_words(spark, sf_dir):
     pairs = _pairs(spark, sf_dir)
-    return restore.restore_words(_turn_words(spark, sf_dir), restore.fit_words(pairs), restore.fit_bigrams(pairs)).select("conv_id", "turn", "pos", "plain", "form", "known")
+    return restore.restore_words(_turn_words(spark, sf_dir), *restore.fit(pairs)[:2]).select("conv_id", "turn", "pos", "plain", "form", "known")
 
 
 _UNSEEN = f"""
@@ -437,7 +437,7 @@ done AS MATERIALIZED (SELECT g.sid, coalesce(o.restored, '') AS restored FROM gi
 def restore_text(spark, sf_dir):
     pairs = _pairs(spark, sf_dir)
     turns = read(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("sid"), T.strip_diacritics("text").alias("text"))
-    return restore.restore(turns, restore.fit_words(pairs), restore.fit_bigrams(pairs), restore.fit_chars(pairs))
+    return restore.restore(turns, *restore.fit(pairs))
 
 
 def _evaluated(run: str, train: str, test: str) -> str:

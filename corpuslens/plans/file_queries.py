@@ -316,7 +316,7 @@ def saved_restorer(spark, sf_dir):
     """A restorer's three tables, saved and loaded."""
     pairs = restore.plain_pairs(read(spark, sf_dir, "documents"))
     path = _path(spark, "restorer")
-    writers.save_model(path, restore.fit_words(pairs), restore.fit_bigrams(pairs), restore.fit_chars(pairs))
+    writers.save_model(path, *restore.fit(pairs))
     rows = [df.select(F.lit(name).alias("part"), "key", "form", "n") for name, df in zip(("words", "bigrams", "chars"), writers.load_model(spark, path), strict=True)]
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
