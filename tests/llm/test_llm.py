@@ -1027,3 +1027,42 @@ def test_pipeline_stages(spark, tmp_path):
     assert 2002 not in ids["benchmark_leaks"] and ids["benchmark_leaks"] == ids["repeated_passages"] - {2002}
     run = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in run.collect()} == ids["packing"]
+
+
+def test_pipeline_stages_on_hard_rows(spark, hard, tmp_path):
+    """Each stage on null, shared and repeated ids, empty and long texts, copies and passages, against brute force over its own input; empty tables pass through all stages."""
+    import corpus_pipeline
+
+    draw = random.Random(61)
+    docs, labels, truth = labelled(spark, 120, 4)
+    toxic = [r.text for r in docs.collect() if truth[r.doc_id]][:2]
+    item = prose(draw, 30, 10**5)
+    rows = [(i + 10_000, t) for i, t in [tuple(r)[:2] for r in docs.collect()]] + hard + overlapping(draw) + [(None, toxic[0]), (7, toxic[1]), (None, item), (301, item + " more"), (302, "")]
+    labels.select((F.col("doc_id") + 10_000).alias("doc_id"), "toxic", F.lit(1).alias("quality")).write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item), (None, "x"), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    for n, given in enumerate((rows, [])):
+        table = documents(spark, given).select("doc_id", "text", "lang", "source", "n_chars")
+        now = given
+        for name in ("toxicity", "near_copies", "repeated_passages", "benchmark_leaks"):
+            out = stages[name](spark, table, str(tmp_path))
+            assert out.schema.names == table.schema.names
+            out.write.parquet(f"{tmp_path}/{n}-{name}")
+            table = spark.read.parquet(f"{tmp_path}/{n}-{name}")
+            got = [(r.doc_id, r.text) for r in table.collect()]
+            if name == "toxicity":
+                scores = toxicity.score_documents(documents(spark, now), spark.read.parquet(f"{tmp_path}/labels.parquet")).collect()
+                assert sorted(map(repr, [g[0] for g in got])) == sorted(repr(r.doc_id) for r in scores if r.score < 0.5)
+                assert not n or got == []
+            elif name == "near_copies":
+                want = slow_one_of_each(now)
+                assert sorted((i is None, i or 0) for i, _ in got) == sorted(least for least, _ in want)
+                assert all(any((i is None, i or 0) == least and t in texts for i, t in got) for least, texts in want)
+            elif name == "repeated_passages":
+                assert sorted(((i is None, i or 0, None if t is None else t.split()) for i, t in got), key=repr) == slow_cut(now)
+            else:
+                leaked = [(i, t) for k, (i, t) in enumerate(now) if contain([(k, t)], [(1, item)])]
+                assert sorted(map(repr, got)) == sorted(map(repr, [r for r in now if r not in leaked])) and (bool(leaked) or n)
+            now = got
+        packed = stages["packing"](spark, table, str(tmp_path)).collect()
+        assert sum(r.start == 0 for r in packed) == len(now)
