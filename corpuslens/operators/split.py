@@ -80,7 +80,7 @@ def permutation_split(n: int, test_size: float = 0.1, seed: int = 42) -> list[st
 
 def validate_split(df: DataFrame, text: str = "text", split: str = "split") -> DataFrame:
     """One row: train and test sizes, overlap (distinct texts in both), leak_free."""
-    sides = df.groupBy(text).agg(*[F.sum((F.col(split) == s).cast("bigint")).alias(s) for s in ("train", "test")])
+    sides = df.groupBy(F.md5(F.col(text).cast("binary"))).agg(*[F.sum((F.col(split) == s).cast("bigint")).alias(s) for s in ("train", "test")])
     both = F.sum(((F.col("train") > 0) & (F.col("test") > 0)).cast("bigint"))
     return sides.agg(F.sum("train").alias("train"), F.sum("test").alias("test"), both.alias("overlap"), (both == 0).alias("leak_free"))
 

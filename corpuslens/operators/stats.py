@@ -62,7 +62,7 @@ def summary(df: DataFrame, by: str, text: str = "text") -> DataFrame:
     rows = normalized(df, by, text=text).withColumn("marked", T.detect_diacritics("norm")).withColumn("words", T.words_of_normal("norm"))
     whole = rows.groupBy(by).agg(
         F.count("*").alias("sentences"),
-        F.count_distinct("norm").alias("unique_sentences"),
+        F.count_distinct(F.md5(F.col("norm").cast("binary"))).alias("unique_sentences"),
         F.sum(F.size("words")).alias("tokens"),
         F.sum(F.col("marked").cast("bigint")).alias("sentences_with_diacritics"),
     )
@@ -87,11 +87,11 @@ def diacritic_letters(df: DataFrame, *keep: str, text: str = "text") -> DataFram
 def validate(df: DataFrame, *by: str, text: str = "text") -> DataFrame:
     """Per group: total, empty (blank) and duplicate texts, unique ones, those with diacritics and their share."""
     blank = T.collapse_space(text) == ""
-    rows = df.select(*by, F.coalesce(F.col(text), F.lit("")).alias(text)).select(*by, text, blank.alias("blank"), T.detect_diacritics(text).alias("marked"))
+    rows = df.select(*by, F.coalesce(F.col(text), F.lit("")).alias(text)).select(*by, F.md5(F.col(text).cast("binary")).alias("digest"), blank.alias("blank"), T.detect_diacritics(text).alias("marked"))
     found = rows.groupBy(*by).agg(
         F.count("*").alias("total"),
         F.sum(F.col("blank").cast("bigint")).alias("empty"),
-        F.count_distinct(text).alias("unique"),
+        F.count_distinct("digest").alias("unique"),
         F.sum(F.col("marked").cast("bigint")).alias("with_diacritics"),
     )
     share = F.coalesce(F.try_divide(F.col("with_diacritics"), F.col("total")), F.lit(0.0)).alias("diacritic_share")
