@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import os
-from collections.abc import Callable, Iterator
-from pathlib import Path
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,34 +11,15 @@ from pyspark.sql import functions as F
 
 from corpuslens.storage import drop as drop
 from corpuslens.storage import fits as fits
+from corpuslens.storage import map_arrow as map_arrow
 from corpuslens.storage import read as read
 from corpuslens.storage import stored as stored
 
-#: Bytes handed to a Python worker at a time: texts may be long, and a batch is held several times over.
-BATCH_BYTES = 4 << 20
-_ROOT = str(Path(__file__).resolve().parents[2])
-
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-#: What Python workers are told, so that the memory of large arrays goes back to the system when they are freed.
-_WORKERS = {"MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": str(1 << 19), "MALLOC_TRIM_THRESHOLD_": str(1 << 20), "ARROW_DEFAULT_MEMORY_POOL": "system"}
-
-
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow in batches of at most BATCH_BYTES (the setting is read when the plan is made); workers find this package where the driver does."""
-    spark = df.sparkSession
-    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") not in (str(BATCH_BYTES), f"{BATCH_BYTES}b"):
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    held = spark.sparkContext.environment
-    held.update({k: v for k, v in _WORKERS.items() if k not in held})
-    if _ROOT not in held.get("PYTHONPATH", "").split(os.pathsep):
-        held["PYTHONPATH"] = os.pathsep.join(filter(None, [_ROOT, held.get("PYTHONPATH"), os.environ.get("PYTHONPATH")]))
-    return df.mapInArrow(fn, schema)
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """Avalanche 64-bit integers (the finaliser of MurmurHash3)."""
     h = h ^ (h >> np.uint64(33))

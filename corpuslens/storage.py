@@ -1,10 +1,14 @@
-"""Tables in the shared folder, and inputs dealt out over the cores: what every part of the engine stores and reads by."""
+"""Tables in the shared folder, inputs dealt out over the cores, Arrow batches of bounded bytes: what every part of the engine stores and reads by."""
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +16,10 @@ from pyspark.sql import functions as F
 TEXTS = ("documents", "pages", "conversations")
 #: Bytes up to which a table is broadcast.
 MOST_BROADCAST = 64 << 20
+#: Bytes handed to a Python worker at a time: texts may be long, and a batch is held several times over.
+BATCH_BYTES = 4 << 20
 _MADE: dict[str, SparkSession] = {}
+_ROOT = str(Path(__file__).resolve().parents[1])
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,3 +79,19 @@ def clean(spark: SparkSession) -> None:
         place = spark._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
         del _MADE[path]
+
+
+#: What Python workers are told, so that the memory of large arrays goes back to the system when they are freed.
+_WORKERS = {"MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": str(1 << 19), "MALLOC_TRIM_THRESHOLD_": str(1 << 20), "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
+
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow in batches of at most BATCH_BYTES (the setting is read when the plan is made); workers find this package where the driver does."""
+    spark = df.sparkSession
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") not in (str(BATCH_BYTES), f"{BATCH_BYTES}b"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    held = spark.sparkContext.environment
+    held.update({k: v for k, v in _WORKERS.items() if k not in held})
+    if _ROOT not in held.get("PYTHONPATH", "").split(os.pathsep):
+        held["PYTHONPATH"] = os.pathsep.join(filter(None, [_ROOT, held.get("PYTHONPATH"), os.environ.get("PYTHONPATH")]))
+    return df.mapInArrow(fn, schema)

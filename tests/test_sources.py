@@ -1,6 +1,9 @@
 """Readers, writers, lexicon tables and the command line."""
 
+import gzip
+import hashlib
 import json
+import random
 import zipfile
 
 import pytest
@@ -62,6 +65,55 @@ def test_writers(spark, tmp_path):
     assert readers.result_files(spark, f"{tmp_path}/r*.json").count() == 1
 
 
+def test_manifest_holds_no_file_whole(spark, tmp_path):
+    """Digests and counts are those of the bytes, in one block and in several, and no file's content is read at once."""
+    mark, noise = b"\xef\xbb\xbf", random.Random(1).randbytes(20_000)
+    held = {"a.tsv": b"h\n1\n2\n", "one.tsv": b"h", "mark.txt": mark, "mark_end.txt": mark + b"\n", "mark_open.txt": mark + b"x\ny", "marks.txt": mark + mark + b"x\n"}
+    held |= {"one.txt": b"x", "end.txt": b"\n", "ends.txt": b"a\r\n\nb\r", "long.txt": "ä b\n".encode() * 5000, "noise.txt": noise, "a#%20 ü.txt": b"p\n"}
+    held |= {"junk.gz": b"no gzip\n", "lines.txt.gz": gzip.compress(b"a\nb\n"), "junk.zst": b"x", "README": b"line\n" * 5000 + b"last", "noise.bin": noise, "mark.json": mark + noise + b"\n", "wide.json": b"q" * 9000 + b"\nz"}
+    (tmp_path / "m/sub folder").mkdir(parents=True)
+    for i, (name, data) in enumerate(held.items()):
+        (tmp_path / ("m/sub folder" if i % 2 else "m") / name).write_bytes(data)
+    ends = {name: data.count(b"\n") for name, data in held.items()}
+    want = {n: (hashlib.sha256(d).hexdigest(), len(d), max(ends[n] - 1, 0) if n.endswith(".tsv") else None, ends[n] if n.endswith(".txt") else None) for n, d in held.items()}
+    put = {"spark.sql.sources.binaryFile.maxLength": "5", "spark.sql.files.openCostInBytes": "100"}
+    before = {k: spark.conf.get(k) for k in [*put, "spark.sql.files.maxPartitionBytes"]}
+    try:
+        for block in ("100m", "3000", "997"):
+            for k, v in (put | {"spark.sql.files.maxPartitionBytes": block}).items():
+                spark.conf.set(k, v)
+            rows = writers.manifest(spark, f"{tmp_path}/m").collect()
+            assert len(rows) == len(want) and {r.path: (r.sha256, r.bytes, r.rows, r.lines) for r in rows} == want
+        assert not writers.manifest(spark, f"{tmp_path}/m", "*.none").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_manifest_of_long_lines(spark, tmp_path, monkeypatch):
+    """Files with lines beyond the bound are read as one value, and only those; lines about as long as the bound are neither lost nor cut."""
+    monkeypatch.setattr(writers, "LONG_LINE", 1000)
+    mark, short = b"\xef\xbb\xbf", b"short\n" * 5000
+    held = {"short.txt": short, "short.json": short, "only.json": b"q" * 4000, "tail.txt": b"a\n" + b"q" * 4000, "head.tsv": mark + b"q" * 4000 + b"\nb\n", "a[1]{b} *?#%20 ü.json": b"z" * 3000}
+    for n in range(994, 1006):
+        held |= {f"{n}.txt": b"a\n" + b"q" * n + b"\nb\n", f"{n}.json": b"q" * n, f"{n}.bin": b"a\nb\n" + b"q" * n + b"\n" + b"c\n" * 400, f"{n}.dat": mark + b"q" * n + b"\n" + b"q" * n}
+    (tmp_path / "m").mkdir()
+    for name, data in held.items():
+        (tmp_path / "m" / name).write_bytes(data)
+    want = {n: (hashlib.sha256(d).hexdigest(), len(d), d.count(b"\n") - 1 if n.endswith(".tsv") else None, d.count(b"\n") if n.endswith(".txt") else None) for n, d in held.items()}
+    put = {"spark.sql.sources.binaryFile.maxLength": "6000", "spark.sql.files.openCostInBytes": "100"}
+    before = {k: spark.conf.get(k) for k in [*put, "spark.sql.files.maxPartitionBytes"]}
+    try:
+        for block in ("100m", "700"):
+            for k, v in (put | {"spark.sql.files.maxPartitionBytes": block}).items():
+                spark.conf.set(k, v)
+            rows = writers.manifest(spark, f"{tmp_path}/m").collect()
+            assert len(rows) == len(want) and {r.path: (r.sha256, r.bytes, r.rows, r.lines) for r in rows} == want
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_lexicon(spark):
     forms = spark.createDataFrame([("l", "10", "f", "s"), ("l", "9", "g", "s"), ("k", "9", "h", "s")], "Language_ID string, Parameter_ID string, Form string, Source string")
     params = spark.createDataFrame([("9", "n9", "G"), ("10", "n10", "H")], "ID string, Name string, Concepticon_Gloss string")
